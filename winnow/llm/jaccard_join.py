@@ -62,7 +62,7 @@ class Scheme:
 
     def bits(self, tag: int) -> int:
         """64-bit words of a parity sketch."""
-        return max(1, -(-self.top[tag] // 32))
+        return max(1, -(-self.top[tag] // 64))
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """Of a sorted set of hashes; the lowest bits of a signature tell its band."""
