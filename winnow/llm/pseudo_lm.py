@@ -4,8 +4,8 @@ Words are counted over all documents; the most frequent get a number of their ow
 numbers by hash. The network sees the two words on either side of a place, through an embedding for each of the four
 positions, and predicts the word there: first its class, then the word in its class, so a prediction costs two small
 softmaxes. Training masks one place in ``MASK`` of every document; each task trains from the same start on its documents,
-and the networks are averaged by their number of places, in two aggregations, so neither a task nor the driver sees more
-than a bounded number of networks. A document's score is the sum of the log-probabilities of all its words, each given
+and the networks are averaged by their number of places, level by level, about ``FAN_IN`` in a task, so neither a
+task nor the driver gathers what grows with the corpus. A document's score is the sum of the log-probabilities of all its words, each given
 its neighbours on both sides.
 
 Defined results: null and empty texts and texts without words have no tokens and a log-likelihood of 0; repeated rows
@@ -15,7 +15,6 @@ count and are scored each; an empty table gives no rows; other columns are ignor
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,8 +30,8 @@ CLASSES, DIM, WINDOW, MASK, CHUNK = 64, 24, 2, 8, 1 << 14
 VOCABULARY = CLASSES * CLASSES
 #: Numbers of frequent words; the other numbers are shared by hash.
 FREQUENT = VOCABULARY - 1024
-#: Groups into which tasks' networks are summed first.
-SALTS = 64
+#: Networks that are averaged in one task.
+FAN_IN = 64
 _U = np.uint64
 
 
@@ -181,7 +180,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Numbers, Network]:
                 own.learn(neighbourhoods(num, w.first, some), num[some], seen)
             places += len(at)
         if places:
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(own.pack()) % SALTS], pa.int32()), pa.array([places], pa.int64()), pa.array([own.pack()], pa.binary())], names=["salt", "places", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([places], pa.int64()), pa.array([own.pack()], pa.binary())], names=["salt", "places", "weights"])
 
     def average(key, table):
         total, n = 0.0, 0
@@ -192,8 +191,11 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Numbers, Network]:
 
     schema = "salt int, places long, weights binary"
     each = materialize(docs.select(F.col(text_col).alias("text")).mapInArrow(run, schema), "networks")
-    levels = each.groupBy("salt").applyInArrow(average, schema)
-    row = levels.groupBy("salt").applyInArrow(average, schema).first()
+    n = each.count()
+    while n > FAN_IN:  # levels of averages, each group of about FAN_IN networks
+        n = -(-n // FAN_IN)
+        each = materialize(each.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")).groupBy("salt").applyInArrow(average, schema), "networks")
+    row = each.withColumn("salt", F.lit(0)).groupBy("salt").applyInArrow(average, schema).first()
     return numbers, Network.unpack(np.frombuffer(row.weights, "<f4")) if row else Network.start()
 
 
