@@ -37,6 +37,7 @@ _BYTE = stream(11, 256)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 _POS, _POS_HIGH = stream(23, 1024) | _U(1), stream(37, 1024) << _U(1)
+_POS_HIGH[0] = 0  # a word's hash is the same whether or not a long word is near it
 
 _SPACE = np.ones(256, bool)
 _SPACE[[32, *range(9, 14)]] = False
@@ -66,7 +67,7 @@ class Words:
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and each text's offsets there; null counts as empty."""
-    texts = texts.fill_null("").cast(pa.large_string())
+    texts = texts.cast(pa.large_string()).fill_null("")
     buffers = texts.buffers()
     at = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.empty(0, np.uint8)
