@@ -127,10 +127,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
         rows = numbered.filter(F.col("block") == i).select("item", "words").collect()  # about BLOCK windows of the query set
         block = Block([r[0] for r in rows], [r[1] for r in rows])
         block.choose(_counts(docs.select(F.col(text_col)), block))
-        out = _mark(out, spark.sparkContext.broadcast(block))
-        if i % 4 == 3:
-            out = materialize(out, "marked")
-    return out.mapInArrow(_finish(keep_text), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<long>" + ", text string" * keep_text)
+        shared = spark.sparkContext.broadcast(block)
+        if i < blocks - 1:
+            out = _mark(out, shared)
+            if i % 4 == 3:
+                out = materialize(out, "marked")
+    mark, finish = _marker(shared), _finish(keep_text)
+    return out.mapInArrow(lambda batches: finish(mark(batches)), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<long>" + ", text string" * keep_text)
 
 
 def _counts(texts: DataFrame, block: Block) -> np.ndarray:
@@ -150,7 +153,7 @@ def _counts(texts: DataFrame, block: Block) -> np.ndarray:
     return counts
 
 
-def _mark(docs: DataFrame, shared) -> DataFrame:
+def _marker(shared):
     """Adds the block's occurrences to hits (first and end word, one after the other) and items."""
 
     def run(batches):
@@ -171,7 +174,11 @@ def _mark(docs: DataFrame, shared) -> DataFrame:
                 items[i] = items[i] + [block.items[k] for k in numbers if k >= 0]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
 
-    return docs.mapInArrow(run, "doc_id long, text string, hits array<long>, items array<string>")
+    return run
+
+
+def _mark(docs: DataFrame, shared) -> DataFrame:
+    return docs.mapInArrow(_marker(shared), "doc_id long, text string, hits array<long>, items array<string>")
 
 
 def _finish(keep_text: bool):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 from .tokens import encoder, tokenizer_path
-from .wordhash import slices
+from .wordhash import release, slices
 
 #: Shards of one length; lengths times shards bounds the counts that are broadcast.
 SHARDS = 64
@@ -52,6 +52,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
                     at = to
             kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], names=list(out))
+        enc.cache.clear()
+        release()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)

@@ -19,8 +19,8 @@ NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 BLANK = "\t-\r \x85\xa0"
 _PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{BLANK}{LETTER}{NUMBER}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 _OTHER = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
-#: Pieces that one Python worker remembers.
-CACHE = 1_000_000
+#: Pieces that one task remembers.
+CACHE = 400_000
 
 
 class Encoder:
