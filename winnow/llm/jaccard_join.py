@@ -128,16 +128,19 @@ def _sign(k: int, scheme: Scheme):
 
 
 def _lead(batches):
-    """Over rows sorted by (sig, row): each row but a bucket's first, with that first one."""
+    """Over rows sorted by sig (by that alone, so that Spark sorts by radix): each row of a bucket but its leader, with its
+    leader, which is the smallest row among the bucket's rows in the batch where it begins."""
     last, leader = None, 0
     for b in batches:
         if not b.num_rows:
             continue
         sig, row = b.column(0).to_numpy(), b.column(1).to_numpy()
-        new = np.r_[sig[0] != last if last is not None else True, sig[1:] != sig[:-1]]
-        run = np.cumsum(new)
-        leaders = np.r_[leader, row[new]][run]
-        last, leader = sig[-1], leaders[-1]
+        at = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        least = np.minimum.reduceat(row, at)
+        if sig[0] == last:
+            least[0] = leader
+        last, leader = sig[-1], least[-1]
+        leaders = np.repeat(least, np.diff(np.r_[at, len(sig)]))
         keep = leaders != row
         yield _batch("sig leader row", [sig[keep], leaders[keep], row[keep]])
 
@@ -252,7 +255,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     text = spark.table(texts)
 
     signed = text.mapInArrow(_sign(k, scheme), "sig long, row long")
-    led = signed.repartition(F.col("sig")).sortWithinPartitions("sig", "row").mapInArrow(_lead, "sig long, leader long, row long")
+    led = signed.repartition(F.col("sig")).sortWithinPartitions("sig").mapInArrow(_lead, "sig long, leader long, row long")
     bucket = materialize(led, "buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
