@@ -61,8 +61,8 @@ class Scheme:
         return k // (k2 + 1) * 11 // 10 + 1 + bool(k), 1 + 2 * k2, k2
 
     def bits(self, tag: int) -> int:
-        """64-bit words of a parity sketch."""
-        return max(1, -(-self.top[tag] // 64))
+        """64-bit words of a parity sketch: a bit an element, and no less than what the other columns of a row take."""
+        return max(8, -(-self.top[tag] // 64))
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """Of a sorted set of hashes; the lowest bits of a signature tell its band."""
