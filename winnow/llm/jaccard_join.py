@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import join_groups, materialize, parts
+from .storage import free_shuffles, join_groups, materialize, parts
 from .wordhash import lists, long, mix, shingles, slices, stream, words
 
 _U = np.uint64
@@ -239,6 +239,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     counts only if a component has no other; an empty table gives no rows; other columns are ignored. ``docs`` is a table
     scan that gives the same rows in the same order each time it is read."""
     scheme, spark = Scheme(num, den), docs.sparkSession
+    free_shuffles(spark)
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     base = materialize(source.mapInArrow(_describe(k), "row long, doc long, n long, d1 long, d2 long"), "sets")
     total = base.count()
@@ -252,15 +253,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     buckets = parts(spark)
     picked = source.select("row", "text").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     picked.repartition(buckets, "row").write.bucketBy(buckets, "row").sortBy("row").mode("overwrite").format("parquet").saveAsTable(texts)
+    free_shuffles(spark)
     text = spark.table(texts)
 
     signed = text.mapInArrow(_sign(k, scheme), "sig long, row long")
     led = signed.repartition(F.col("sig")).sortWithinPartitions("sig").mapInArrow(_lead, "sig long, leader long, row long")
     bucket = materialize(led, "buckets")
+    free_shuffles(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(u, v) of the pairs that are linked."""
         pairs = materialize(pairs.select("u", "v"), "pairs")
+        free_shuffles(spark)
         salts = pairs.groupBy("u").agg(F.ceil(F.count("*") / STAR).alias("salts"))
         first = salts.join(text.hint("merge"), F.col("u") == F.col("row")).select("u", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("u").alias("v"), "text")
         salted = pairs.join(salts.hint("merge"), "u").select("u", F.pmod(F.xxhash64("v"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "v")
@@ -272,6 +276,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     best = shared.groupBy("row").agg(F.max(F.struct(F.col("sigs"), (-F.col("leader")).alias("minus"))).alias("best"))
     links = verified(best.select((-F.col("best.minus")).alias("u"), F.col("row").alias("v")))
     comp = materialize(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))), "components")
+    free_shuffles(spark)
 
     # Buckets that still hold different components.
     def labelled(df: DataFrame, col: str, name: str) -> DataFrame:
@@ -282,6 +287,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     open_sigs = open_rows.filter("comp <> lead_comp").select("sig").distinct()
     rows = open_rows.join(open_sigs.hint("merge"), "sig", "left_semi")
     rows = materialize(rows.select("sig", "row", "comp").union(rows.select("sig", F.col("leader").alias("row"), F.col("lead_comp").alias("comp")).distinct()), "open")
+    free_shuffles(spark)
     if rows.isEmpty():
         final = comp
     else:
@@ -301,6 +307,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
         final = labelled(every, "row", "component").join(merged.hint("merge"), "component", "left").select(F.col("row").alias("node"), F.coalesce("__m", "component").alias("component"))
     known = classes.join(final.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = materialize(known, "classes-known")
+    spark.sql(f"DROP TABLE {texts}")
+    free_shuffles(spark)
     ids = known.groupBy("component").agg(F.min("doc").alias("component_id"), F.count("*").alias("n_texts"))
     known = known.join(ids.hint("merge"), "component").select(*key, "size", "component_id", "n_texts")
     joined = join_groups(base.filter("n > 0"), known, key, "size", total).select("doc", "n", "component_id", "n_texts")

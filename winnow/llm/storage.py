@@ -28,6 +28,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Executors delete the shuffle files of a finished write once the driver has collected it as garbage, which may come
+    late by itself. Called after large writes, so that disks hold one large shuffle at a time."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors' Python, once for each Spark context."""
     context = spark.sparkContext
