@@ -2,33 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from winnow.llm import decontaminate, exact_dedup, jaccard_join, langid, packing, queries
-from winnow.llm.storage import materialize
+from winnow.llm.storage import bound_batches, materialize
+
+
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(function)
+    def apply(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return function(spark, docs, sf_dir)
+
+    return apply
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lets go of documents without a language: null texts and texts without letters."""
     found = langid.identify(docs, queries.language_profiles(docs))
     return found.filter("lang_pred <> 'und'").select(*docs.columns)
 
 
+@_stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest id stays."""
     return exact_dedup.drop_exact_copies(docs)
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents the one with the smallest id stays."""
     return jaccard_join.drop_near_copies(docs)
 
 
+@_stage
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their places in sequences."""
     return packing.pack(docs)

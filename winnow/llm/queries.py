@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, exact_dedup, jaccard_join, langid, packing, pseudo_lm, secret_scan, suffix_dedup, toxicity
 
-from .storage import ship_package
+from .storage import bound_batches, ship_package
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,6 +151,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        bound_batches(spark)
         return query(spark, sf_dir)
 
     return run

@@ -34,6 +34,11 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most so many bytes: long texts then take less memory in the JVM and in Python at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors' Python, once for each Spark context."""
     context = spark.sparkContext
