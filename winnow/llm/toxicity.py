@@ -217,6 +217,15 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", m
     return train(table.column(0).to_pylist(), table.column(1).to_numpy())
 
 
+def choose(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> DataFrame:
+    """About ``max_train`` rows of each label (0 or 1), chosen by a hash of the id before any text is joined: (id, label),
+    small enough to broadcast at every size. Null ids are left out."""
+    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(id_col, label_col)
+    n = {r[0]: r[1] for r in known.groupBy(label_col).agg(F.count("*")).collect()}
+    part = F.when(F.col(label_col) == 1, int((1 << 20) * min(1, max_train / n.get(1, 1)))).otherwise(int((1 << 20) * min(1, max_train / n.get(0, 1))))
+    return known.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < part)
+
+
 def hash_text(text: str | None) -> int:
     """For an order of the sample that does not depend on the order in which rows arrive."""
     import zlib
