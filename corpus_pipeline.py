@@ -8,12 +8,13 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from winnow.llm import decontaminate, exact_dedup, jaccard_join, langid, packing, queries
-from winnow.llm.storage import bound_batches, materialize
+from winnow.llm.storage import bound_batches, materialize, ship_package
 
 
 def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @wraps(function)
     def apply(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         bound_batches(spark)
         return function(spark, docs, sf_dir)
 

@@ -68,8 +68,9 @@ def test_jaccard_components(docs, empty):
             parent[root(a)] = root(b)
     least = {r: min((i for k, (i, _) in enumerate(rows) if root(k) == r and i is not None), default=None) for r in {root(k) for k in range(len(rows))}}
     want = sorted(((i, len(s), least[root(k)]) for k, (i, s) in enumerate(rows)), key=str)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()), key=str)
-    assert got == want
+    for passes in (jaccard_join.PLAIN, jaccard_join.GROWING):
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, passes=passes).collect()), key=str)
+        assert got == want
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
@@ -86,6 +87,29 @@ def test_signatures_are_shared_by_all_linked_sets():
             assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b))), (n, m)
 
 
+def test_jaccard_of_chains_without_a_centre(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng, texts = random.Random(3), []
+    for _ in range(3):
+        w = [f"v{rng.randrange(10**6)}" for _ in range(90)]
+        for _ in range(40):
+            w = list(w)
+            w[rng.randrange(90)] = f"v{rng.randrange(10**6)}"
+            if rng.random() < 0.15:
+                w[rng.randrange(90)] = w[rng.randrange(90)] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "chains"))
+    sets, least = [sets_of(t) for t in texts], list(range(len(texts)))
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    for passes in (jaccard_join.PLAIN, jaccard_join.GROWING):
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.read.parquet(str(tmp_path / "chains")), passes=passes).collect()}
+        assert got == dict(enumerate(least)) and 3 <= len(set(least)) < 60
+
+
 def test_repeated_passages(docs, empty):
     rows = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in corpus()]
     counts = {}

@@ -8,9 +8,14 @@ one at least, all but k2 of its n2 parts are equal. Each choice of n2 - k2 of th
 signature, and linked sets share one.
 
 The join then needs no list of all pairs: equal sets are one class; rows of a signature form a bucket; each class is first
-held against the bucket leader it shares most signatures with, which joins nearly all groups; only classes that still are
-in different components and share a bucket are compared, first by parity sketches (a lower bound on the number of
-differing elements), and those that pass by their sets. So no link between different components goes unchecked.
+held against the bucket leader it shares most signatures with, which joins most groups. Classes that still are in different
+components and share a bucket are compared, first by parity sketches (a lower bound on the number of differing elements),
+and those that pass by their sets. So no link between different components goes unchecked.
+
+``GROWING`` says how to do that where many rows of large groups are not linked to their leaders: first, each row in a block
+of its bucket offers only its nearest by sketch, at a cost that is linear in the bucket; then components are merged, and all
+that is left of every bucket is compared. Each row also carries its smallest signatures, so that a pair that shares one of
+them is offered by the bucket of the first of them alone and not by every bucket that both are in.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import free_shuffles, join_groups, materialize, parts
+from .storage import discard, free_shuffles, join_groups, materialize, parts
 from .wordhash import lists, long, mix, shingles, slices, stream, words
 
 _U = np.uint64
@@ -32,6 +37,11 @@ _U = np.uint64
 BLOCK = 1024
 #: Pairs of one set that are verified in one task.
 STAR = 512
+#: (1 / share of the buckets, whether only the nearest of each row's block is offered) of each pass; the last one leaves nothing out.
+PLAIN = ((1, False),)
+GROWING = ((4, True), (1, False))
+#: Signatures that a row carries if there are several passes.
+CARRIED = 4
 _TAGS = 128
 
 
@@ -167,28 +177,36 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
-def _sketches(k: int, scheme: Scheme):
+def _sketches(k: int, scheme: Scheme, carried: int):
+    """Sketches, each followed by the smallest ``carried`` signatures of its band; where a row has fewer, by values of its own."""
+
     def run(batches):
         for b in slices(batches):
             row, tag, n, out = [], [], [], []
             for r, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), k), strict=True):
+                sigs = scheme.signatures(s) if carried else s[:0]
                 for t in (scheme.band(len(s)), scheme.band(len(s)) + 1):
+                    own = np.sort(long(sigs[(sigs & _U(_TAGS - 1)) == _U(t)]))[:carried]
+                    own = np.r_[own, np.full(carried - len(own), (r << 7) | (_TAGS - 1))]
                     row.append(r)
                     tag.append(t)
                     n.append(len(s))
-                    out.append(long(scheme.sketch(s, t)))
+                    out.append(np.r_[long(scheme.sketch(s, t)), own])
             yield _batch("row tag n sketch", [pa.array(row, pa.int64()), pa.array(tag, pa.int64()), pa.array(n, pa.int64()), lists(out, pa.int64())])
 
     return run
 
 
-def _near(num: int, den: int):
-    """Over rows sorted by (sig, x, y): pairs of a group in different components that sketches and sizes do not tell apart."""
+def _near(num: int, den: int, nearest: bool, carried: int):
+    """Over rows sorted by (sig, x, y): pairs of a group in different components that sketches and sizes do not tell apart;
+    if ``nearest``, for each row only the one with the most equal sketch; else pairs that share a carried signature
+    smaller than the bucket's are left to the bucket of the smallest one."""
 
-    def compare(b: pa.RecordBatch) -> pa.RecordBatch:
-        sig, x, y, block, row, comp, n = (b.column(i).to_numpy() for i in range(7))
-        at, data = b.column(7).offsets.to_numpy(), b.column(7).values.to_numpy().view(np.uint64)
+    def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
+        sig, x, y, block, row, comp, n = (rows.column(i).to_numpy() for i in range(7))
+        at, data = rows.column(7).offsets.to_numpy(), rows.column(7).values.to_numpy().view(np.uint64)
         us, vs = [], []
+        least, partner = np.full(len(sig), np.iinfo(np.int64).max), np.full(len(sig), -1)
         d, alive = 1, np.arange(len(sig) - 1)
         while len(alive):
             i, j = alive, alive + d
@@ -204,12 +222,25 @@ def _near(num: int, den: int):
                 these = np.flatnonzero(size == width)
                 for part in np.array_split(these, -(-len(these) * int(width) // (1 << 21)) or 1):
                     p, q = i[part], j[part]
-                    span = np.arange(width)
+                    span = np.arange(width - carried)
                     odd = np.bitwise_count(data[at[p][:, None] + span] ^ data[at[q][:, None] + span]).sum(axis=1, dtype=np.int64)
                     ok = odd * (den + num) <= (n[p] + n[q]) * (den - num)
-                    us.append(np.minimum(row[p[ok]], row[q[ok]]))
-                    vs.append(np.maximum(row[p[ok]], row[q[ok]]))
+                    if nearest:
+                        for own, other in ((p, q), (q, p)):  # either has no row twice
+                            better = ok & (odd < least[own])
+                            least[own[better]], partner[own[better]] = odd[better], other[better]
+                        continue
+                    p, q, last = p[ok], q[ok], np.arange(width - carried, width)
+                    a, b = (data[at[x][:, None] + last].view(np.int64) for x in (p, q))
+                    first = ~((a[:, :, None] == b[:, None, :]).any(axis=2) & (a < sig[p][:, None])).any(axis=1)
+                    p, q = p[first], q[first]
+                    us.append(np.minimum(row[p], row[q]))
+                    vs.append(np.maximum(row[p], row[q]))
             d += 1
+        if nearest:
+            p = np.flatnonzero(partner >= 0)
+            us.append(np.minimum(row[p], row[partner[p]]))
+            vs.append(np.maximum(row[p], row[partner[p]]))
         pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0) if us else np.empty((0, 2), np.int64)
         return _batch("u v", [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])])
 
@@ -231,14 +262,15 @@ def _near(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", passes: tuple = PLAIN) -> DataFrame:
     """One row for each row of the table ``docs``: doc_id, n_shingles, component_id, n_texts (different sets in the component).
 
     Defined results: null and empty texts and texts without words have an empty set and a component of their own; texts
     of fewer than k words have their word sequence as the only element; repeated rows are linked as equal sets; a null id
     counts only if a component has no other; an empty table gives no rows; other columns are ignored. ``docs`` is a table
-    scan that gives the same rows in the same order each time it is read."""
+    scan that gives the same rows in the same order each time it is read. ``passes``: PLAIN or GROWING, with equal results."""
     scheme, spark = Scheme(num, den), docs.sparkSession
+    carried = CARRIED if len(passes) > 1 else 0
     free_shuffles(spark)
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     base = materialize(source.mapInArrow(_describe(k), "row long, doc long, n long, d1 long, d2 long"), "sets")
@@ -287,25 +319,41 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     open_sigs = open_rows.filter("comp <> lead_comp").select("sig").distinct()
     rows = open_rows.join(open_sigs.hint("merge"), "sig", "left_semi")
     rows = materialize(rows.select("sig", "row", "comp").union(rows.select("sig", F.col("leader").alias("row"), F.col("lead_comp").alias("comp")).distinct()), "open")
+    discard(open_rows)
+    discard(bucket)
     free_shuffles(spark)
-    if rows.isEmpty():
-        final = comp
-    else:
+    if not rows.isEmpty():
         rows = rows.withColumn("tag", F.col("sig").bitwiseAND(_TAGS - 1))
         ids = rows.select("row").distinct()
-        sketched = text.join(ids.hint("merge"), "row", "left_semi").mapInArrow(_sketches(k, scheme), "row long, tag long, n long, sketch array<long>")
-        counts = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        dealt = rows.join(counts.hint("merge"), "sig").withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.join(sketched.hint("merge"), ["row", "tag"]).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "row", "comp", "n", "sketch")
-        dealt = dealt.repartition(F.col("sig"), F.col("x"), F.col("y")).sortWithinPartitions("sig", "x", "y")
-        near = dealt.mapInArrow(_near(num, den), "u long, v long").distinct()
-        more = verified(near)
-        edges = labelled(labelled(more, "u", "a"), "v", "b").select("a", "b")
-        merged = materialize(components(edges), "merged").select(F.col("node").alias("component"), F.col("component").alias("__m"))
-        every = classes.select(F.col("rep").alias("row"))
-        final = labelled(every, "row", "component").join(merged.hint("merge"), "component", "left").select(F.col("row").alias("node"), F.coalesce("__m", "component").alias("component"))
-    known = classes.join(final.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        sketched = text.join(ids.hint("merge"), "row", "left_semi").mapInArrow(_sketches(k, scheme, carried), "row long, tag long, n long, sketch array<long>")
+        if len(passes) > 1:
+            sketched = materialize(sketched, "sketches")
+        for i, (share, nearest) in enumerate(passes):
+            chosen = rows.filter(F.pmod(F.xxhash64("sig"), F.lit(share)) == 0)
+            counts = chosen.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+            dealt = chosen.join(counts.hint("merge"), "sig").withColumn("block", F.pmod(F.xxhash64("row", F.lit(i)), "blocks").cast("int"))
+            dealt = dealt.withColumn("other", F.col("block") if nearest else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            dealt = dealt.join(sketched.hint("merge"), ["row", "tag"]).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "row", "comp", "n", "sketch")
+            dealt = dealt.repartition(F.col("sig"), F.col("x"), F.col("y")).sortWithinPartitions("sig", "x", "y")
+            more = verified(dealt.mapInArrow(_near(num, den, nearest, carried), "u long, v long").distinct())
+            merged = materialize(components(labelled(labelled(more, "u", "a"), "v", "b").select("a", "b")), "merged")
+            free_shuffles(spark)
+            if merged.isEmpty():
+                continue
+            into = merged.select(F.col("node").alias("__from"), F.col("component").alias("__into"))
+            moved = comp.join(into.hint("merge"), comp["component"] == into["__from"], "left").select("node", F.coalesce("__into", "component").alias("component"))
+            comp = moved.unionByName(merged.join(comp.hint("merge"), "node", "left_anti"))
+            if i + 1 == len(passes):
+                break
+            comp = materialize(comp, "components")
+            rows = rows.join(into.hint("merge"), rows["comp"] == into["__from"], "left").select("sig", "row", F.coalesce("__into", "comp").alias("comp"), "tag")
+            apart = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
+            former, rows = rows, materialize(rows.join(apart.hint("merge"), "sig", "left_semi"), "open")
+            discard(former)
+            free_shuffles(spark)
+            if rows.isEmpty():
+                break
+    known = classes.join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = materialize(known, "classes-known")
     spark.sql(f"DROP TABLE {texts}")
     free_shuffles(spark)
@@ -318,6 +366,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the table ``docs`` that stay: of each component the document with the smallest id."""
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col)
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col, passes=GROWING)
     kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__winnow_id")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__winnow_id"]), "left_semi")

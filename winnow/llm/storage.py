@@ -28,6 +28,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``materialize`` wrote and that nothing reads any more (later columns on it don't matter)."""
+    context = table.sparkSession.sparkContext
+    for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Executors delete the shuffle files of a finished write once the driver has collected it as garbage, which may come
     late by itself. Called after large writes, so that disks hold one large shuffle at a time."""
