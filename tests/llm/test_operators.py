@@ -1,5 +1,6 @@
 """Each operator on small tables with null, empty and very long texts, ties, repeated rows, empty tables and extra columns."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -11,6 +12,7 @@ import pytest
 
 from winnow.llm import chat, decontaminate, exact_dedup, jaccard_join, langid, packing, pseudo_lm, secret_scan, storage, suffix_dedup, toxicity
 from winnow.llm.tokens import encoder, tokenizer_path
+from winnow.llm.wordhash import words
 
 SCHEMA = "doc_id long, text string, row string, n long, sig long"
 
@@ -250,3 +252,39 @@ def test_pseudo_likelihood(spark, docs, empty):
     assert pseudo_lm.score(docs, model).count() == len(corpus()) and pseudo_lm.score(empty, pseudo_lm.fit(empty)).count() == 0
 
 
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    rng = random.Random(2)
+    text = lambda: " ".join([*(rng.choice(["a", "b", "c", "d"]) for _ in range(30)), *(f"r{rng.randrange(9000)}" for _ in range(30))])
+    rows = [(i, text()) for i in range(600)]
+    counts = collections.Counter(w for _, t in rows for w in t.split())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for local in (1 << 20, 4000):  # all words looked up in place, and those with the lowest counts by the join
+        monkeypatch.setattr(pseudo_lm, "LOCAL", local)
+        model = pseudo_lm.fit(df)
+        numbers = model[0]
+        assert numbers.complete == (local > len(counts))
+        h = {w: words(pa.array([w]), "space").hash for w in [*counts, "neverseen"]}
+        num = {w: int(numbers.of(x)[0]) for w, x in h.items()}
+        total = collections.Counter()
+        for w, n in counts.items():
+            total[num[w]] += n
+        groups = {}
+        for w in sorted(counts):
+            if num[w] >= pseudo_lm.FREQUENT:
+                groups.setdefault(num[w], {}).setdefault(counts[w], w)
+        number, group = next((k, g) for k, g in sorted(groups.items()) if len(g) > 1)  # two words of one number with unlike counts
+        chosen = [*group.values()][:2]
+        test = spark.createDataFrame([*enumerate(chosen), (2, "neverseen"), (3, f"{chosen[0]} {chosen[1]} {chosen[0]}"), (3, None)], "doc_id long, text string")
+        got = pseudo_lm.score(test, model).collect()
+        assert len(got) == 5
+        got = {(r.doc_id, r.n_tokens): r.log_likelihood for r in got}
+        outside = np.full((1, 4), pseudo_lm.VOCABULARY)
+        plain = lambda k: float(model[1].log_likelihood(outside, np.array([k]))[0])
+        for i, w in enumerate(chosen):
+            assert got[i, 1] == pytest.approx(plain(number) + np.log(counts[w] / (total[number] + 1)), abs=1e-4)
+        k = num["neverseen"]
+        assert got[2, 1] == pytest.approx(plain(k) - np.log(total[k] + 1) - 54 * np.log(2), abs=1e-4)
+        assert sum(counts[w] for w in counts if num[w] == number) == total[number] and got[3, 0] == 0
+        results.append({r.doc_id: r.log_likelihood for r in pseudo_lm.score(df, model).collect()})
+    assert results[0].keys() == results[1].keys() and all(results[0][i] == pytest.approx(results[1][i], abs=1e-3) for i in results[0])

@@ -1,7 +1,11 @@
 """Masked pseudo-likelihood of documents by a bidirectional window network, trained in numpy.
 
 Words are counted over all documents; the most frequent get a number of their own and the others share the remaining
-numbers by hash. The network sees the two words on either side of a place, through an embedding for each of the four
+numbers by hash. A word that shares its number has the number's probability times its own share of the number's
+occurrences in all documents: with N of them, n / (N + 1) for a word that occurs n times; the one that is added is divided
+evenly among all hashes a word that never occurs may have. So every word has a probability of its own. The ``LOCAL`` most
+frequent words are looked up in a broadcast table and the others, each of which is rare, by a join with the counts of all
+words, so nothing is left out at any size. The network sees the two words on either side of a place, through an embedding for each of the four
 positions, and predicts the word there: first its class, then the word in its class, so a prediction costs two small
 softmaxes. Training masks one place in ``MASK`` of every document; each task trains from the same start on its documents,
 and the networks are averaged by their number of places, level by level, about ``FAN_IN`` in a task, so neither a
@@ -30,6 +34,10 @@ CLASSES, DIM, WINDOW, MASK, CHUNK = 64, 24, 2, 8, 1 << 14
 VOCABULARY = CLASSES * CLASSES
 #: Numbers of frequent words; the other numbers are shared by hash.
 FREQUENT = VOCABULARY - 1024
+#: Words whose counts are broadcast, at most.
+LOCAL = 1 << 20
+#: Log of the part that each hash has in what is kept for words that never occur: a number has 2 ** 54 of all hashes.
+UNSEEN = -np.log(2.0**64 / (VOCABULARY - FREQUENT))
 #: Networks that are averaged in one task.
 FAN_IN = 64
 _U = np.uint64
@@ -126,10 +134,32 @@ def _soft(y: np.ndarray) -> np.ndarray:
 
 
 class Numbers:
-    """Words' numbers: frequent ones their own, others by hash; VOCABULARY stands outside a text."""
+    """Words' numbers: frequent ones their own, others by hash; VOCABULARY stands outside a text.
+
+    ``local``: words that are looked up here, in order, and ``n``, their occurrences; ``totals``: occurrences of all words of
+    each shared number; ``complete``: whether all words that occur are in ``local``."""
 
     def __init__(self, frequent: np.ndarray):
         self.keys = np.sort(frequent)
+        self.local, self.n = np.empty(0, np.uint64), np.empty(0)
+        self.totals = np.zeros(VOCABULARY - FREQUENT)
+        self.complete = True
+
+    def shares(self, h: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log of each word's share of its number, and whether its count is to be looked up elsewhere and added to that."""
+        out, away = np.zeros(len(h)), np.zeros(len(h), bool)
+        at = np.flatnonzero(numbers >= FREQUENT)
+        word = h[at]
+        k = np.searchsorted(self.local, word)
+        here = np.zeros(len(at), bool)
+        inside = np.flatnonzero(k < len(self.local))
+        here[inside] = self.local[k[inside]] == word[inside]
+        own = np.full(len(at), UNSEEN if self.complete else 0.0)
+        own[here] = np.log(self.n[k[here]])
+        out[at] = own - np.log(self.totals[numbers[at] - FREQUENT] + 1)
+        if not self.complete:
+            away[at[~here]] = True
+        return out, away
 
     def of(self, h: np.ndarray) -> np.ndarray:
         other = FREQUENT + (mix(h) % _U(VOCABULARY - FREQUENT)).astype(np.int64)
@@ -162,10 +192,40 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[Numbers, Network]:
-    """The words' numbers and the averaged network."""
-    top = count_words(docs, text_col).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+def number_words(counts: DataFrame) -> Numbers:
+    """The numbers of the words that ``count_words`` counted, with what is looked up without a join."""
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     numbers = Numbers(np.array([r.word for r in top], np.int64).view(np.uint64))
+    own = counts.sparkSession.sparkContext.broadcast(numbers)
+
+    def run(batches):
+        total = np.zeros(VOCABULARY, np.int64)
+        for b in batches:
+            np.add.at(total, own.value.of(b.column(0).to_numpy().view(np.uint64)), b.column(1).to_numpy())
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["number", "n"])
+
+    for r in counts.mapInArrow(run, "number long, n long").filter(F.col("number") >= FREQUENT).groupBy("number").agg(F.sum("n").alias("n")).collect():  # the shared numbers
+        numbers.totals[r.number - FREQUENT] = r.n
+    # The least count at which no more than LOCAL words are looked up without a join; there are few different counts.
+    least, size = None, 0
+    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("words")).collect(), reverse=True):
+        if size + r.words > LOCAL:
+            numbers.complete = False
+            break
+        least, size = r.n, size + r.words
+    if least is not None:
+        table = counts.filter(F.col("n") >= least).select("word", "n").toArrow()  # at most LOCAL rows
+        word = table.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(word)
+        numbers.local, numbers.n = word[order], table.column("n").to_numpy()[order].astype(np.float64)
+    return numbers
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[Numbers, Network, DataFrame]:
+    """The words' numbers, the averaged network and the counts of all words."""
+    counts = materialize(count_words(docs, text_col), "words")
+    numbers = number_words(counts)
     shared = docs.sparkSession.sparkContext.broadcast(numbers)
 
     def run(batches):
@@ -196,26 +256,35 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Numbers, Network]:
         n = -(-n // FAN_IN)
         each = materialize(each.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")).groupBy("salt").applyInArrow(average, schema), "networks")
     row = each.withColumn("salt", F.lit(0)).groupBy("salt").applyInArrow(average, schema).first()
-    return numbers, Network.unpack(np.frombuffer(row.weights, "<f4")) if row else Network.start()
+    return numbers, Network.unpack(np.frombuffer(row.weights, "<f4")) if row else Network.start(), counts
 
 
-def score(docs: DataFrame, model: tuple[Numbers, Network], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[Numbers, Network, DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood, per_token (log_likelihood / n_tokens, null without tokens)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    *own_model, counts = model
+    shared = docs.sparkSession.sparkContext.broadcast(own_model)
 
     def run(batches):
         numbers, network = shared.value
         for b in slices(batches):
             w = words(b.column(1), "space")
             num = numbers.of(w.hash)
+            share, away = numbers.shares(w.hash, num)
             total = np.zeros(b.num_rows)
             for lo in range(0, len(num), CHUNK):
                 at = np.arange(lo, min(len(num), lo + CHUNK))
-                own = network.log_likelihood(neighbourhoods(num, w.first, at), num[at])
+                own = network.log_likelihood(neighbourhoods(num, w.first, at), num[at]) + share[at]
                 total += np.bincount(np.searchsorted(w.first, at, "right") - 1, weights=own, minlength=b.num_rows)
-            n = np.diff(w.first)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "per_token"])
-
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")
-    return found.withColumnRenamed("doc_id", id_col)
+            away = np.flatnonzero(away)
+            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(away, w.first).astype(np.int32)), pa.array(long(w.hash[away])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(w.first)), pa.array(total), rest], names=["doc_id", "n_tokens", "log_likelihood", "rest"])
+
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, rest array<long>")
+    if not own_model[0].complete:
+        # The counts of the other words. Rows are numbered once, in the table that both sides read.
+        found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "scored")
+        rare = found.select("row", F.explode("rest").alias("word"))
+        more = rare.join(counts.hint("merge"), "word", "left").groupBy("row").agg(F.sum(F.coalesce(F.log(F.col("n").cast("double")), F.lit(float(UNSEEN)))).alias("more"))
+        found = found.drop("rest").join(more.hint("merge"), "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return found.select(F.col("doc_id").alias(id_col), "n_tokens", "log_likelihood", mean.alias("per_token"))
