@@ -288,3 +288,41 @@ def test_every_word_has_its_own_probability(spark, monkeypatch):
         assert sum(counts[w] for w in counts if num[w] == number) == total[number] and got[3, 0] == 0
         results.append({r.doc_id: r.log_likelihood for r in pseudo_lm.score(df, model).collect()})
     assert results[0].keys() == results[1].keys() and all(results[0][i] == pytest.approx(results[1][i], abs=1e-3) for i in results[0])
+
+
+def test_rows_keep_their_texts_when_splits_change(spark, tmp_path, monkeypatch):
+    rows = [(i, t, "r", 1, 2) for i, t in corpus()]
+    for i in range(16):  # files of different sizes, dealt to partitions otherwise after each table that is written
+        spark.createDataFrame(rows[i::16], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "files"))
+    docs = spark.read.parquet(str(tmp_path / "files"))
+    splits, write = itertools.count(1, 3), storage.materialize
+
+    def shifting(df, name):
+        spark.conf.set("spark.sql.files.minPartitionNum", next(splits) % 17 + 1)
+        return write(df, name)
+
+    for module in (exact_dedup, jaccard_join, suffix_dedup, packing, decontaminate):
+        monkeypatch.setattr(module, "materialize", shifting)
+    try:
+        want = {}
+        for r in rows:
+            want[r[1] or ""] = max(want.get(r[1] or "", (False, 0)), (r[0] is not None, r[0] or 0))
+        spark.conf.set("spark.sql.files.minPartitionNum", 1)
+        got = [(r.text or "", (r.doc_id is not None, r.doc_id or 0)) for r in exact_dedup.drop_exact_copies(docs).collect()]
+        assert sorted(got) == sorted(want.items())
+        test_jaccard_components(docs, docs.limit(0))
+        test_repeated_passages(docs, docs.limit(0))
+        test_packing(docs, docs.limit(0))
+        placed = [(r.sequence_id, r.offset) for r in packing.pack(docs).collect()]
+        assert len(placed) == len(set(placed))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_clean_documents_need_no_row_numbers(spark, docs):
+    texts = [t for _, t in corpus()]
+    bench = spark.createDataFrame([(1, " ".join(texts[4].split()[:12])), (2, texts[6])], "item_id long, text string")
+    hit = {r.text for r in decontaminate.decontaminate(docs, bench, keep_text=True).collect() if r.contaminated}
+    clean = decontaminate.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns and "monotonically" not in clean._jdf.queryExecution().toString()
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted(((*r, "r", 1, 2) for r in corpus() if r[1] not in hit), key=str) and hit

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .storage import materialize
 from .wordhash import lists, long, shingles, slices, words
@@ -115,14 +116,16 @@ class Block:
         return start[same], window[same]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, and spans (first word
-    and end of each run of hit words); ``keep_text`` keeps the column ``text``."""
+    and end of each run of hit words); ``keep_text`` keeps the column ``text``, and ``keep`` names columns that are kept in a struct ``kept``."""
     spark = docs.sparkSession
     found = materialize(windows(benchmark, size, item_col, item_text_col), "windows")
     blocks = max(1, -(-found.count() // BLOCK))
     numbered = found.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("hits", F.array().cast("array<long>")).withColumn("items", F.array().cast("array<string>"))
+    own = [F.struct(*keep).alias("kept")] if keep else []
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *own).withColumn("hits", F.array().cast("array<long>")).withColumn("items", F.array().cast("array<string>"))
+    out = out.select("doc_id", "text", "hits", "items", *["kept"] * bool(keep))
     for i in range(blocks):
         rows = numbered.filter(F.col("block") == i).select("item", "words").collect()  # about BLOCK windows of the query set
         block = Block([r[0] for r in rows], [r[1] for r in rows])
@@ -133,7 +136,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
             if i % 4 == 3:
                 out = materialize(out, "marked")
     mark, finish = _marker(shared), _finish(keep_text)
-    return out.mapInArrow(lambda batches: finish(mark(batches)), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<long>" + ", text string" * keep_text)
+    schema = StructType.fromDDL("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<long>" + ", text string" * keep_text)
+    return out.mapInArrow(lambda batches: finish(mark(batches)), StructType([*schema.fields, *out.schema.fields[4:]]))
 
 
 def _counts(texts: DataFrame, block: Block) -> np.ndarray:
@@ -172,13 +176,13 @@ def _marker(shared):
                 hits[i] = hits[i] + np.stack([at, at + block.length[window[these]]], axis=1).ravel().tolist()
                 numbers = np.unique(block.item[window[these]])
                 items[i] = items[i] + [block.items[k] for k in numbers if k >= 0]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), *b.columns[4:]], names=["doc_id", "text", "hits", "items", *b.schema.names[4:]])
 
     return run
 
 
 def _mark(docs: DataFrame, shared) -> DataFrame:
-    return docs.mapInArrow(_marker(shared), "doc_id long, text string, hits array<long>, items array<string>")
+    return docs.mapInArrow(_marker(shared), docs.schema)
 
 
 def _finish(keep_text: bool):
@@ -199,14 +203,14 @@ def _finish(keep_text: bool):
             sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in all_items]
             arrays = [b.column(0), pa.array(n_words), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in all_items], pa.int64()), pa.array(sha), pa.array([x > 0 for x in n_hit]), pa.array(all_items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))]
             names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
-            yield pa.RecordBatch.from_arrays([*arrays, b.column(1)] if keep_text else arrays, names=[*names, "text"] if keep_text else names)
+            more, more_names = ([b.column(1)], ["text"]) if keep_text else ([], [])
+            yield pa.RecordBatch.from_arrays([*arrays, *more, *b.columns[4:]], names=[*names, *more_names, *b.schema.names[4:]])
 
     return run
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the table ``docs`` without a hit, with their columns."""
-    numbered = docs.withColumn("__winnow_row", F.monotonically_increasing_id())
-    found = decontaminate(numbered, benchmark, id_col="__winnow_row", text_col=text_col)
-    clean = found.filter(~F.col("contaminated")).select(F.col("doc_id").alias("__winnow_row"))
-    return numbered.join(clean, "__winnow_row", "left_semi").drop("__winnow_row")
+    """The rows of the table ``docs`` without a hit, with their columns, which go along with the text."""
+    others = tuple(c for c in docs.columns if c != text_col)
+    found = decontaminate(docs.withColumn("__winnow_id", F.lit(0)), benchmark, id_col="__winnow_id", text_col=text_col, keep_text=True, keep=others)
+    return found.filter(~F.col("contaminated")).select(*(F.col("text").alias(c) if c == text_col else F.col("kept").getField(c).alias(c) for c in docs.columns))

@@ -61,6 +61,17 @@ def with_row_id(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the table ``docs`` that stay, with their columns."""
-    kept = DigestIndex(docs.sparkSession).ingest(docs, id_col, text_col).filter("kept").select(F.col("row_id").alias("__winnow_row"))
-    return docs.withColumn("__winnow_row", F.monotonically_increasing_id()).join(kept, "__winnow_row", "left_semi").drop("__winnow_row")
+    """The rows of the table ``docs`` that stay, with their columns. They are found again by text and id, as another scan may
+    number rows otherwise; of rows that repeat both, any one stays."""
+    found = DigestIndex(docs.sparkSession).ingest(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("keep_id")))
+    kept = found.groupBy(F.unhex("text_sha256").alias("__winnow_kept"), F.col(id_col).alias("__winnow_id")).agg(F.count("*").alias("__winnow_n"), F.max("kept").alias("__winnow_new"))
+    kept = materialize(kept.filter("__winnow_new").drop("__winnow_new"), "kept")
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    rows = docs.withColumn("__winnow_digest", digest)
+    same = (F.col("__winnow_digest") == F.col("__winnow_kept")) & F.col(id_col).cast("long").eqNullSafe(F.col("__winnow_id"))
+    once = rows.join(kept.filter("__winnow_n = 1"), same, "left_semi").select(*docs.columns)
+    if kept.filter("__winnow_n > 1").isEmpty():
+        return once
+    repeated = rows.join(kept.filter("__winnow_n > 1"), same, "left_semi")
+    one = repeated.groupBy("__winnow_digest").agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")  # combined in each task
+    return once.unionByName(one)

@@ -267,12 +267,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
 
     Defined results: null and empty texts and texts without words have an empty set and a component of their own; texts
     of fewer than k words have their word sequence as the only element; repeated rows are linked as equal sets; a null id
-    counts only if a component has no other; an empty table gives no rows; other columns are ignored. ``docs`` is a table
-    scan that gives the same rows in the same order each time it is read. ``passes``: PLAIN or GROWING, with equal results."""
+    counts only if a component has no other; an empty table gives no rows; other columns are ignored. Rows are numbered
+    once, in a table of their own, as another scan of ``docs`` may number them otherwise. ``passes``: PLAIN or GROWING, with equal results."""
     scheme, spark = Scheme(num, den), docs.sparkSession
     carried = CARRIED if len(passes) > 1 else 0
     free_shuffles(spark)
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    source = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), "numbered")
     base = materialize(source.mapInArrow(_describe(k), "row long, doc long, n long, d1 long, d2 long"), "sets")
     total = base.count()
     key = ["n", "d1", "d2"]
@@ -281,10 +281,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     # One text of each class, bucketed by row: later joins read it in place.
     texts = f"winnow_texts_{uuid.uuid4().hex}"
     if not total:
+        discard(source)
         return base.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"), F.lit(1).cast("long").alias("n_texts"))
     buckets = parts(spark)
     picked = source.select("row", "text").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     picked.repartition(buckets, "row").write.bucketBy(buckets, "row").sortBy("row").mode("overwrite").format("parquet").saveAsTable(texts)
+    discard(source)
     free_shuffles(spark)
     text = spark.table(texts)
 

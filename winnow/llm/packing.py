@@ -200,10 +200,12 @@ def plan(counts: dict[int, int], capacity: int, small: int = 48, n_groups: int =
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Each piece's columns with sequence_id and offset; ``with_ids`` adds the token ids themselves."""
-    cut = materialize(pieces(docs, tokenizer or tokenizer_path(), capacity, end_id, id_col, text_col, with_ids), "pieces")
+    # Numbered once, as it is written: counts and ranks read the same numbers whatever the scan's splits.
+    cut = pieces(docs, tokenizer or tokenizer_path(), capacity, end_id, id_col, text_col, with_ids)
+    table = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARDS)).cast("int")
     # Rows that repeat share all they hash; the position in the written table spreads them.
-    numbered = cut.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.pmod(shard + F.col("row"), F.lit(SHARDS)).cast("int"))
+    numbered = table.withColumn("shard", F.pmod(shard + F.col("row"), F.lit(SHARDS)).cast("int"))
     by_shard = materialize(numbered.groupBy("length", "shard").agg(F.count("*").alias("n")), "lengths")
     counts = {r.length: r.n for r in by_shard.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     before = F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))

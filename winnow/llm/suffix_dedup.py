@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import join_groups, materialize
+from .storage import discard, join_groups, materialize
 from .wordhash import lists, long, mix, shingles, slices, stream, words
 
 LENGTH, GRAM = 50, 8
@@ -139,7 +139,8 @@ def _merge(batches):
 def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each longest stretch of words in a row of the table ``docs`` that is made of repeated passages of
     ``length`` words: doc_id, first_word, end_word, n_words."""
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    # Numbered once: another scan of ``docs`` may number rows otherwise.
+    source = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), "numbered")
     base = materialize(source.mapInArrow(_describe, "row long, doc long, n long, d1 long, d2 long"), "passages")
     key = ["n", "d1", "d2"]
     total = base.count()
@@ -147,6 +148,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     copies = join_groups(base, classes.filter("size > 1"), key, "size", total).select("doc", F.lit(0).cast("long").alias("first_word"), F.col("n").alias("end_word"))
 
     text = materialize(source.select("row", "text").join(classes.select(F.col("rep").alias("row")), "row", "left_semi"), "texts")
+    discard(source)
     suffixes = materialize(text.mapInArrow(_suffixes(length), "gram long, after long, before long, row long, lo long, hi long"), "suffixes")
     twice = suffixes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     kept = suffixes.join(twice.hint("merge"), "gram", "left_semi")
