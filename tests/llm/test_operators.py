@@ -326,3 +326,11 @@ def test_clean_documents_need_no_row_numbers(spark, docs):
     clean = decontaminate.drop_contaminated(docs, bench)
     assert clean.columns == docs.columns and "monotonically" not in clean._jdf.queryExecution().toString()
     assert sorted(map(tuple, clean.collect()), key=str) == sorted(((*r, "r", 1, 2) for r in corpus() if r[1] not in hit), key=str) and hit
+
+
+def test_rare_languages_are_learned_whole(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LEAST", 30)
+    rows = [(f"the cat and the dog {i}", "en") for i in range(8000)] + [(f"der hund und die katze {i}", "de") for i in range(40)] + [("ceci nest pas une pipe", "fr")]
+    profiles = langid.fit(spark.createDataFrame(rows, "text string, lang string"), max_train=120)
+    assert profiles.languages == ["de", "en", "fr"]
+    assert [profiles.predict(t)[0] for t in ("the dog", "die katze", "une pipe")] == ["en", "de", "fr"]

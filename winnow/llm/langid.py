@@ -19,8 +19,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .wordhash import slices
 
-#: Training texts in all, about, chosen by a hash: the bound of the sample.
+#: Training texts in all, about, chosen by a hash: the bound of the sample, unless ``LEAST`` of each language are more.
 MAX_TRAIN = 20_000
+#: Training texts that a language has at least, about, if it has so many; all of them, if it has fewer.
+LEAST = 1_000
 #: Length of a profile.
 RANKS = 400
 
@@ -91,10 +93,17 @@ class Profiles:
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, ranks: int = RANKS) -> Profiles:
-    """Profiles of the languages of ``train``, from a sample of about ``max_train`` of its texts."""
+    """Profiles of the languages of ``train``, from a sample of about ``max_train`` of its texts, dealt evenly to languages:
+    of each about the same number, or all of its texts where there are fewer, whatever the size of the others."""
     known = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    share = min(1.0, max_train / max(1, known.count()))
-    sample = known.filter(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    each = max(LEAST, max_train // max(1, len(sizes)))
+    large = [F.struct(F.lit(lang).alias("lang"), F.lit(int(each / n * (1 << 40))).alias("below")) for lang, n in sizes.items() if n > each]
+    if large:
+        shares = known.sparkSession.range(1).select(F.inline(F.array(*large)))
+        below = F.coalesce("below", F.lit(1 << 40))
+        known = known.join(F.broadcast(shares), "lang", "left").filter(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 40)) < below)
+    sample = known.select("lang", "text")
 
     def count(batches):
         total: dict[str, dict[int, int]] = {}
