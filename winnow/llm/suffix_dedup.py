@@ -3,9 +3,9 @@
 Of a text's suffixes only those are kept that begin at a content-selected place: in every ``LENGTH`` words, the word
 8-gram with the smallest hash. A passage of that many words that occurs twice has the same place chosen in both. Suffixes
 whose 8-gram occurs once are let go. The others are sorted with what follows and what precedes them in the windows they
-stand for, and neighbours are compared: equal neighbours repeat each other to the full. For the rest, a match is extended
-left and right to its ends: each window around such a suffix is looked up among all windows of the others, so extension
-finds the longest match with any occurrence and not only with the sorted neighbour.
+stand for, and neighbours are compared: equal neighbours repeat each other to the full. They are sorted by hashes, not by their words, so
+unequal neighbours say nothing. For the rest, in place of extending a match left and right, each window around such a
+suffix is looked up among all windows of the others, which finds the longest match with any occurrence.
 
 Documents with the same words are one text in all this. Defined results: null and empty texts, and texts of fewer than
 ``LENGTH`` words, have no repeated passage; repeated rows repeat each other; an empty table gives no rows; other columns
