@@ -78,15 +78,32 @@ def test_jaccard_components(docs, empty):
 
 def test_signatures_are_shared_by_all_linked_sets():
     rng, scheme = np.random.default_rng(1), jaccard_join.Scheme()
-    for n in (1, 2, 3, 4, 5, 7, 9, 13, 30, 90, 200, 700):
+    for n in (3, 4, 5, 7, 8, 9, 13, 15, 16, 30, 31, 90, 200, 255, 256, 700, 3000):
         for _ in range(60):
             m = int(rng.integers(n * 3 // 4, n + 1))
             both = int(np.ceil(0.75 * (n + m) / 1.75))
-            if m < 1 or both > min(n, m):
+            if both > min(n, m) or n + m == 2 * both:
                 continue
-            pool = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64))
+            pool = rng.permutation(np.unique(rng.integers(0, 2**64, n + m, dtype=np.uint64)))
             a, b = np.sort(pool[:n]), np.sort(np.r_[pool[:both], pool[n : n + m - both]])
-            assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b))), (n, m)
+            sigs, owners = scheme.signatures(np.r_[a, b], np.array([0, n, n + m]))
+            assert len(np.intersect1d(sigs[owners == 0], sigs[owners == 1])), (n, m)
+
+
+def test_signatures_of_thin_sets():
+    """Elements that lie in few parts of the domain leave most signatures empty; linked sets share one all the same."""
+    rng, scheme = np.random.default_rng(2), jaccard_join.Scheme()
+    for n in (3, 4, 6, 12, 40, 300):
+        for spread in (40, 52, 60):
+            for _ in range(20):
+                m = int(rng.integers(n * 3 // 4, n + 1))
+                both = int(np.ceil(0.75 * (n + m) / 1.75))
+                if both > min(n, m) or n + m == 2 * both:
+                    continue
+                pool = rng.permutation(np.unique(rng.integers(0, 2**spread, 2 * n + 50, dtype=np.uint64))[: n + m])
+                a, b = np.sort(pool[:n]), np.sort(np.r_[pool[:both], pool[n : n + m - both]])
+                sigs, owners = scheme.signatures(np.r_[a, b], np.array([0, n, n + m]))
+                assert len(np.intersect1d(sigs[owners == 0], sigs[owners == 1])), (n, m, spread)
 
 
 def test_jaccard_of_chains_without_a_centre(spark, tmp_path, monkeypatch):

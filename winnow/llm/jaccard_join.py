@@ -1,16 +1,19 @@
 """Exact Jaccard self-join of word-shingle sets by PartEnum signatures.
 
 Two sets of n and m elements with a similarity of at least t differ in at most (n + m)(1 - t) / (1 + t) elements, and the
-larger has at most 1 / t times the elements of the smaller. So sets are dealt to size bands of that ratio, linked sets lie
-in the same or in successive bands, and each set joins the band of its own size and the next one. In a band, the domain of
-all shingles is partitioned twice: into n1 parts, and each part into n2. Differences are too few to spoil every part: in
-one at least, all but k2 of its n2 parts are equal. Each choice of n2 - k2 of them, with a set's elements there, is one
+larger has at most 1 / t times the elements of the smaller. So sets are dealt to bands of sizes, linked sets lie in the same
+or in successive bands, and each set joins its own band and, if it can have partners there, the next one. In a band, the
+domain of all shingles is partitioned twice: into n1 parts, and each part into three. Differences are too few to spoil
+every part: in one at least, two of its three parts are equal. Each choice of two of three, with a set's elements there, is a
 signature, and linked sets share one.
 
-The join then needs no list of all pairs: equal sets are one class; rows of a signature form a bucket; each class is first
+Linked sets even share more than one: all but as many as their differences spoil. So, of its signatures, a set needs only a
+prefix in an order that holds for all sets; the first ones are those with most elements, which the fewest other sets share.
+
+The join needs no list of all pairs: equal sets are one class; rows of a signature form a bucket; each class is first
 held against the bucket leader it shares most signatures with, which joins most groups. Classes that still are in different
-components and share a bucket are compared, first by parity sketches (a lower bound on the number of differing elements),
-and those that pass by their sets. So no link between different components goes unchecked.
+components and share a bucket are compared. All pairs meet by parity sketches first (a lower bound on the number of
+differing elements), and those that pass by their sets. So no link between different components goes unchecked.
 
 ``GROWING`` says how to do that where many rows of large groups are not linked to their leaders: first, each row in a block
 of its bucket offers only its nearest by sketch, at a cost that is linear in the bucket; then components are merged, and all
@@ -21,7 +24,6 @@ them is offered by the bucket of the first of them alone and not by every bucket
 from __future__ import annotations
 
 import uuid
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import discard, free_shuffles, join_groups, materialize, parts
-from .wordhash import lists, long, mix, shingles, slices, stream, words
+from .wordhash import lists, long, mix, shingle_sets, slices, words
 
 _U = np.uint64
 #: Rows of a bucket that are compared in one task; larger buckets are compared block against block.
 BLOCK = 1024
 #: Pairs of one set that are verified in one task.
 STAR = 512
+#: Sets with more than STAR pairs, up to which a table of them is broadcast.
+STARS = 100_000
 #: (1 / share of the buckets, whether only the nearest of each row's block is offered) of each pass; the last one leaves nothing out.
 PLAIN = ((1, False),)
 GROWING = ((4, True), (1, False))
@@ -48,13 +52,12 @@ _TAGS = 128
 class Scheme:
     """Bands and PartEnum parameters for sets whose similarity is at least num / den."""
 
-    def __init__(self, num: int = 75, den: int = 100, small: int = 256):
-        self.num, self.den, self.small = num, den, small
-        self.top = []  # largest size of each band
-        low = 1
-        while low < 1 << 40 and len(self.top) < _TAGS - 1:
-            self.top.append(low * den // num)
-            low = self.top[-1] + 1
+    def __init__(self, num: int = 75, den: int = 100):
+        self.num, self.den = num, den
+        ratio = max(2, -(-den // num))
+        self.top = [ratio - 1]  # largest size of each band
+        while self.top[-1] < 1 << 40 and len(self.top) < _TAGS - 1:
+            self.top.append(ratio * (self.top[-1] + 1) - 1)
         self.tops = np.array(self.top)
 
     def differ(self, n: int, m: int) -> int:
@@ -64,42 +67,64 @@ class Scheme:
     def band(self, n: int) -> int:
         return int(np.searchsorted(self.tops, n))
 
-    def shape(self, tag: int) -> tuple[int, int, int]:
-        """n1, n2, k2. Small sets enumerate two of three parts, which tells more sets apart for more signatures."""
-        k = self.differ(self.top[tag], self.top[tag])
-        k2 = int(self.top[tag] <= self.small and k > 1)
-        return k // (k2 + 1) * 11 // 10 + 1 + bool(k), 1 + 2 * k2, k2
+    def tags(self, n: int) -> list[tuple[int, int]]:
+        """The bands that a set of n elements joins, and in how many elements it may differ from larger sets there."""
+        own, most = self.band(n), n * self.den // self.num
+        both = [(own, min(most, self.top[own])), (own + 1, most)]
+        return [(tag, self.differ(n, m)) for tag, m in both[: 1 + (most > self.top[own])]]
+
+    def parts(self, tag: int) -> int:
+        """n1: more than half of the differences that are possible in the band; a few more for small sets, so that their elements lie apart."""
+        return max(24, self.differ(self.top[tag], self.top[tag]) * 11 // 20 + 2)
+
+    def prefix(self, tag: int, differ: int) -> int:
+        """How many signatures a set needs in its prefix. A difference spoils two of a part's three signatures, and a second one in the same part the third."""
+        n1 = self.parts(tag)
+        return 2 * min(differ, n1) + min(max(differ - n1, 0), n1) + 1
 
     def bits(self, tag: int) -> int:
         """64-bit words of a parity sketch: a bit an element, and no less than what the other columns of a row take."""
         return max(8, -(-self.top[tag] // 64))
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Of a sorted set of hashes; the lowest bits of a signature tell its band."""
-        n, own = len(s), self.band(len(s))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(s), out=total[1:])
-        out = []
-        for tag in (own, own + 1):
-            n1, n2, k2 = self.shape(tag)
-            m = n1 * n2
-            edges = np.arange(1, m, dtype=np.uint64) * _U(((1 << 64) - 1) // m)
-            at = np.concatenate(([0], np.searchsorted(s, edges), [n]))
-            sums = (total[at[1:]] - total[at[:-1]]).reshape(n1, n2)
-            filled = (at[1:] > at[:-1]).reshape(n1, n2)
-            # A part is solid if no choice of its parts is empty. If more parts than differences can spoil are solid, empty choices
-            # are not needed; a set with fewer solid parts has them too.
-            spoilt = self.differ(n, min(self.top[tag], n * self.den // self.num)) // (k2 + 1)
-            thin = int((filled.sum(axis=1) > k2).sum()) <= spoilt
-            where = np.arange(n1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(tag + 1)
-            for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
-                value = np.zeros(n1, np.uint64)
-                for j in chosen:
-                    value += mix(sums[:, j] + _U(j))
-                keep = slice(None) if thin else filled[:, list(chosen)].any(axis=1)
-                sig = mix(value + mix(where + _U(c << 32)))[keep]
-                out.append((sig & ~_U(_TAGS - 1)) | _U(tag))
-        return np.concatenate(out)
+    def signatures(self, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted sets of hashes, one after the other: signatures and the number of the set that each is of. A signature's lowest
+        bits tell its band. Signatures are ordered by their numbers of elements, most first, then by hash."""
+        n = np.diff(first)
+        sums = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum(mix(flat), out=sums[1:])
+        joins: dict[int, list[tuple[int, int]]] = {}
+        shapes = {size: self.tags(size) for size in np.unique(n).tolist() if size}
+        for i, size in enumerate(n.tolist()):
+            for tag, differ in shapes.get(size, ()):
+                if differ:  # else only equal sets can be linked, and those are one set here
+                    joins.setdefault(tag, []).append((i, self.prefix(tag, differ)))
+        sigs, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for tag, sets in joins.items():
+            n1 = self.parts(tag)
+            m = 3 * n1
+            where = mix(np.arange(m, dtype=np.uint64) + (_U(tag) << _U(40)) + _U(1))
+            for some in np.array_split(np.array(sets), -(-len(sets) * m // (1 << 20))):
+                i, wanted = some[:, 0], some[:, 1]
+                size = n[i]
+                before = np.cumsum(size) - size
+                at = np.arange(size.sum()) - np.repeat(before - first[i], size)  # places of these sets' elements in flat
+                part = ((flat[at] >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
+                key = np.repeat(np.arange(len(i)) * m, size) + part
+                filled = np.bincount(key, minlength=len(i) * m)
+                ends = np.cumsum(filled).reshape(len(i), m)
+                base = (first[i] - before)[:, None]
+                total = sums[ends + base] - sums[ends - filled.reshape(len(i), m) + base]
+                filled = filled.reshape(len(i), n1, 3)
+                value = mix(total + where).reshape(len(i), n1, 3)
+                # All pairs of a part's three second-level parts; of each pair, one more than the other is left out.
+                value = value + np.roll(value, -1, axis=2)
+                count = np.minimum(filled + np.roll(filled, -1, axis=2), 255).astype(np.uint64)
+                sig = (mix(value.reshape(len(i), m) + where) >> _U(8)) | ((_U(255) - count.reshape(len(i), m)) << _U(56))
+                sig.sort(axis=1)
+                taken = np.arange(m) < wanted[:, None]
+                sigs.append((sig[taken] & ~_U(_TAGS - 1)) | _U(tag))
+                owners.append(np.repeat(i, np.minimum(wanted, m)))
+        return np.concatenate(sigs), np.concatenate(owners)
 
     def sketch(self, s: np.ndarray, tag: int) -> np.ndarray:
         """One bit for each part of the domain: whether the set has an odd number of elements there."""
@@ -108,11 +133,6 @@ class Scheme:
         return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
-    w = words(texts, "space")
-    return [np.unique(shingles(w.of(i), k)) for i in range(len(texts))]
-
-
 def _batch(schema: str, arrays: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=schema.split())
 
@@ -120,9 +140,14 @@ def _batch(schema: str, arrays: list) -> pa.RecordBatch:
 def _describe(k: int):
     def run(batches):
         for b in slices(batches):
-            sets = shingle_sets(b.column(2), k)
-            sums = [np.array([f(s).sum() for s in sets], np.uint64) for f in (mix, lambda s: mix(s ^ _U(0xA0761D6478BD642F)))]
-            yield _batch("row doc n d1 d2", [b.column(0), b.column(1), np.array([len(s) for s in sets], np.int64), long(sums[0]), long(sums[1])])
+            flat, first = shingle_sets(words(b.column(3), "space"), k)
+            n = np.diff(first)
+            some = first[:-1][n > 0]
+            sums = np.zeros((2, b.num_rows), np.uint64)
+            for i, seed in enumerate((0, 0xA0761D6478BD642F)):
+                if len(some):
+                    sums[i, n > 0] = np.add.reduceat(mix(flat ^ _U(seed)), some)
+            yield _batch("row doc h n d1 d2 text", [*b.columns[:3], n, long(sums[0]), long(sums[1]), b.column(3)])
 
     return run
 
@@ -130,9 +155,8 @@ def _describe(k: int):
 def _sign(k: int, scheme: Scheme):
     def run(batches):
         for b in slices(batches):
-            rows = b.column(0).to_numpy()
-            sigs = [scheme.signatures(s) for s in shingle_sets(b.column(1), k)]
-            yield _batch("sig row", [long(np.concatenate(sigs)), np.repeat(rows, [len(s) for s in sigs])])
+            sigs, owners = scheme.signatures(*shingle_sets(words(b.column(1), "space"), k))
+            yield _batch("sig row", [long(sigs), b.column(0).to_numpy()[owners]])
 
     return run
 
@@ -162,7 +186,8 @@ def _verify(k: int, num: int, den: int):
         group, first = None, None
         for b in slices(batches, 256):
             us, vs, links = [], [], []
-            sets = shingle_sets(b.column(4), k)
+            flat, at = shingle_sets(words(b.column(4), "space"), k)
+            sets = [flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
             for u, salt, kind, v, s in zip(*(b.column(i).to_pylist() for i in range(4)), sets, strict=True):
                 if kind == 0:
                     group, first = (u, salt), s
@@ -178,15 +203,20 @@ def _verify(k: int, num: int, den: int):
 
 
 def _sketches(k: int, scheme: Scheme, carried: int):
-    """Sketches, each followed by the smallest ``carried`` signatures of its band; where a row has fewer, by values of its own."""
+    """Sketches for each band that a row joins, each followed by the smallest ``carried`` signatures there; where a row has
+    fewer, by values of its own."""
 
     def run(batches):
         for b in slices(batches):
             row, tag, n, out = [], [], [], []
-            for r, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), k), strict=True):
-                sigs = scheme.signatures(s) if carried else s[:0]
-                for t in (scheme.band(len(s)), scheme.band(len(s)) + 1):
-                    own = np.sort(long(sigs[(sigs & _U(_TAGS - 1)) == _U(t)]))[:carried]
+            flat, at = shingle_sets(words(b.column(1), "space"), k)
+            sigs, owners = scheme.signatures(flat, at) if carried else (flat[:0], at[:0])
+            order = np.argsort(owners, kind="stable")
+            sigs, cut = sigs[order], np.searchsorted(owners[order], np.arange(b.num_rows + 1))
+            for i, r in enumerate(b.column(0).to_pylist()):
+                s, mine = flat[at[i] : at[i + 1]], sigs[cut[i] : cut[i + 1]]
+                for t, _ in scheme.tags(len(s)):
+                    own = np.sort(long(mine[(mine & _U(_TAGS - 1)) == _U(t)]))[:carried]
                     own = np.r_[own, np.full(carried - len(own), (r << 7) | (_TAGS - 1))]
                     row.append(r)
                     tag.append(t)
@@ -262,53 +292,84 @@ def _near(num: int, den: int, nearest: bool, carried: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", passes: tuple = PLAIN) -> DataFrame:
-    """One row for each row of the table ``docs``: doc_id, n_shingles, component_id, n_texts (different sets in the component).
+def _apart(num: int, den: int, carried: int):
+    """Over a pair's sizes and sketches: whether they leave it possible that the sets are linked."""
 
-    Defined results: null and empty texts and texts without words have an empty set and a component of their own; texts
-    of fewer than k words have their word sequence as the only element; repeated rows are linked as equal sets; a null id
-    counts only if a component has no other; an empty table gives no rows; other columns are ignored. Rows are numbered
-    once, in a table of their own, as another scan of ``docs`` may number them otherwise. ``passes``: PLAIN or GROWING, with equal results."""
+    def test(n, m, a, b):
+        small, large = F.least(n, m), F.greatest(n, m)
+        width = F.size(a) - carried
+        odd = F.aggregate(F.zip_with(F.slice(a, F.lit(1), width), F.slice(b, F.lit(1), width), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        return (den * small >= num * large) & (odd * (den + num) <= (n + m) * (den - num))
+
+    return test
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, passes: tuple) -> DataFrame:
+    """For each row of ``docs``: doc, h (a hash of its text), n, component (a number), component_id, n_texts."""
     scheme, spark = Scheme(num, den), docs.sparkSession
     carried = CARRIED if len(passes) > 1 else 0
     free_shuffles(spark)
-    source = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), "numbered")
-    base = materialize(source.mapInArrow(_describe(k), "row long, doc long, n long, d1 long, d2 long"), "sets")
+    # Numbered once, as the rows are written: another scan of ``docs`` may number them otherwise.
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    described = materialize(source.mapInArrow(_describe(k), "row long, doc long, h long, n long, d1 long, d2 long, text string"), "described")
+    base = materialize(described.drop("text"), "sets")
     total = base.count()
     key = ["n", "d1", "d2"]
     classes = materialize(base.filter("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min("doc").alias("doc"), F.count("*").alias("size")), "classes")
+    if not total:
+        discard(described)
+        return base.select("doc", "h", "n", F.col("row").alias("component"), F.col("doc").alias("component_id"), F.lit(1).cast("long").alias("n_texts"))
 
     # One text of each class, bucketed by row: later joins read it in place.
     texts = f"winnow_texts_{uuid.uuid4().hex}"
-    if not total:
-        discard(source)
-        return base.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"), F.lit(1).cast("long").alias("n_texts"))
     buckets = parts(spark)
-    picked = source.select("row", "text").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    picked = described.select("row", "text").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     picked.repartition(buckets, "row").write.bucketBy(buckets, "row").sortBy("row").mode("overwrite").format("parquet").saveAsTable(texts)
-    discard(source)
+    try:
+        discard(described)
+        free_shuffles(spark)
+        comp = _linked(spark.table(texts), k, scheme, passes, carried)
+        known = classes.join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        known = materialize(known, "classes-known")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {texts}")
     free_shuffles(spark)
-    text = spark.table(texts)
+    ids = known.groupBy("component").agg(F.min("doc").alias("component_id"), F.count("*").alias("n_texts"))
+    known = known.join(ids.hint("merge"), "component").select(*key, "size", "component", "component_id", "n_texts")
+    joined = join_groups(base.filter("n > 0"), known, key, "size", total).select("doc", "h", "n", "component", "component_id", "n_texts")
+    alone = base.filter("n = 0").select("doc", "h", "n", F.col("row").alias("component"), F.col("doc").alias("component_id"), F.lit(1).cast("long").alias("n_texts"))
+    return joined.unionByName(alone)
 
+
+def _linked(text: DataFrame, k: int, scheme: Scheme, passes: tuple, carried: int) -> DataFrame:
+    """(node, component) of all rows of ``text`` that are linked with another; component is the smallest row."""
+    spark, num, den = text.sparkSession, scheme.num, scheme.den
     signed = text.mapInArrow(_sign(k, scheme), "sig long, row long")
     led = signed.repartition(F.col("sig")).sortWithinPartitions("sig").mapInArrow(_lead, "sig long, leader long, row long")
     bucket = materialize(led, "buckets")
     free_shuffles(spark)
+    ids = bucket.select("row").union(bucket.select("leader")).distinct()
+    sketches = materialize(text.join(ids.hint("merge"), "row", "left_semi").mapInArrow(_sketches(k, scheme, carried), "row long, tag long, n long, sketch array<long>"), "sketches")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(u, v) of the pairs that are linked."""
+        """(u, v) of the pairs that are linked. A set with many pairs is held against them in several tasks."""
         pairs = materialize(pairs.select("u", "v"), "pairs")
-        free_shuffles(spark)
-        salts = pairs.groupBy("u").agg(F.ceil(F.count("*") / STAR).alias("salts"))
-        first = salts.join(text.hint("merge"), F.col("u") == F.col("row")).select("u", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("u").alias("v"), "text")
-        salted = pairs.join(salts.hint("merge"), "u").select("u", F.pmod(F.xxhash64("v"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "v")
-        second = salted.join(text.hint("merge"), F.col("v") == F.col("row")).select("u", "salt", "kind", "v", "text")
+        stars = pairs.groupBy("u").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts")).filter("salts > 1")
+        if stars.limit(STARS + 1).count() <= STARS:
+            stars = F.broadcast(stars)
+        salted = pairs.join(stars, "u", "left").select("u", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "v")
+        first = salted.select("u", "salt").distinct().join(text.hint("merge"), F.col("u") == F.col("row")).select("u", "salt", F.lit(0).alias("kind"), F.col("u").alias("v"), "text")
+        second = salted.join(text.hint("merge"), F.col("v") == F.col("row")).select("u", "salt", F.lit(1).alias("kind"), "v", "text")
         rows = first.unionByName(second).repartition(F.col("u"), F.col("salt")).sortWithinPartitions("u", "salt", "kind")
         return rows.mapInArrow(_verify(k, num, den), "u long, v long, link boolean").filter("link").select("u", "v")
 
-    shared = bucket.groupBy("row", "leader").agg(F.count("*").alias("sigs"))
-    best = shared.groupBy("row").agg(F.max(F.struct(F.col("sigs"), (-F.col("leader")).alias("minus"))).alias("best"))
-    links = verified(best.select((-F.col("best.minus")).alias("u"), F.col("row").alias("v")))
+    shared = bucket.groupBy("row", "leader", F.col("sig").bitwiseAND(_TAGS - 1).alias("tag")).agg(F.count("*").alias("sigs"))
+    best = shared.groupBy("row").agg(F.max(F.struct(F.col("sigs"), (-F.col("leader")).alias("minus"), F.col("tag"))).alias("best"))
+    best = best.select("row", (-F.col("best.minus")).alias("leader"), "best.tag")
+    own = best.join(sketches.hint("merge"), ["row", "tag"])
+    near = own.join(sketches.select(F.col("row").alias("leader"), "tag", F.col("n").alias("m"), F.col("sketch").alias("other")).hint("merge"), ["leader", "tag"])
+    near = near.filter(_apart(num, den, carried)(F.col("n"), F.col("m"), F.col("sketch"), F.col("other")))
+    links = verified(near.select(F.col("leader").alias("u"), F.col("row").alias("v")))
     comp = materialize(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))), "components")
     free_shuffles(spark)
 
@@ -324,50 +385,62 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     discard(open_rows)
     discard(bucket)
     free_shuffles(spark)
-    if not rows.isEmpty():
-        rows = rows.withColumn("tag", F.col("sig").bitwiseAND(_TAGS - 1))
-        ids = rows.select("row").distinct()
-        sketched = text.join(ids.hint("merge"), "row", "left_semi").mapInArrow(_sketches(k, scheme, carried), "row long, tag long, n long, sketch array<long>")
-        if len(passes) > 1:
-            sketched = materialize(sketched, "sketches")
-        for i, (share, nearest) in enumerate(passes):
-            chosen = rows.filter(F.pmod(F.xxhash64("sig"), F.lit(share)) == 0)
-            counts = chosen.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-            dealt = chosen.join(counts.hint("merge"), "sig").withColumn("block", F.pmod(F.xxhash64("row", F.lit(i)), "blocks").cast("int"))
-            dealt = dealt.withColumn("other", F.col("block") if nearest else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            dealt = dealt.join(sketched.hint("merge"), ["row", "tag"]).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "row", "comp", "n", "sketch")
-            dealt = dealt.repartition(F.col("sig"), F.col("x"), F.col("y")).sortWithinPartitions("sig", "x", "y")
-            more = verified(dealt.mapInArrow(_near(num, den, nearest, carried), "u long, v long").distinct())
-            merged = materialize(components(labelled(labelled(more, "u", "a"), "v", "b").select("a", "b")), "merged")
-            free_shuffles(spark)
-            if merged.isEmpty():
-                continue
-            into = merged.select(F.col("node").alias("__from"), F.col("component").alias("__into"))
-            moved = comp.join(into.hint("merge"), comp["component"] == into["__from"], "left").select("node", F.coalesce("__into", "component").alias("component"))
-            comp = moved.unionByName(merged.join(comp.hint("merge"), "node", "left_anti"))
-            if i + 1 == len(passes):
-                break
-            comp = materialize(comp, "components")
-            rows = rows.join(into.hint("merge"), rows["comp"] == into["__from"], "left").select("sig", "row", F.coalesce("__into", "comp").alias("comp"), "tag")
-            apart = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
-            former, rows = rows, materialize(rows.join(apart.hint("merge"), "sig", "left_semi"), "open")
-            discard(former)
-            free_shuffles(spark)
-            if rows.isEmpty():
-                break
-    known = classes.join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    known = materialize(known, "classes-known")
-    spark.sql(f"DROP TABLE {texts}")
-    free_shuffles(spark)
-    ids = known.groupBy("component").agg(F.min("doc").alias("component_id"), F.count("*").alias("n_texts"))
-    known = known.join(ids.hint("merge"), "component").select(*key, "size", "component_id", "n_texts")
-    joined = join_groups(base.filter("n > 0"), known, key, "size", total).select("doc", "n", "component_id", "n_texts")
-    alone = base.filter("n = 0").select("doc", "n", F.col("doc").alias("component_id"), F.lit(1).cast("long").alias("n_texts"))
-    return joined.unionByName(alone).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_texts")
+    rows = rows.withColumn("tag", F.col("sig").bitwiseAND(_TAGS - 1))
+    for i, (share, nearest) in enumerate(passes if not rows.isEmpty() else ()):
+        chosen = rows.filter(F.pmod(F.xxhash64("sig"), F.lit(share)) == 0)
+        counts = chosen.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = chosen.join(counts.hint("merge"), "sig").withColumn("block", F.pmod(F.xxhash64("row", F.lit(i)), "blocks").cast("int"))
+        dealt = dealt.withColumn("other", F.col("block") if nearest else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.join(sketches.hint("merge"), ["row", "tag"]).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "row", "comp", "n", "sketch")
+        dealt = dealt.repartition(F.col("sig"), F.col("x"), F.col("y")).sortWithinPartitions("sig", "x", "y")
+        more = verified(dealt.mapInArrow(_near(num, den, nearest, carried), "u long, v long").distinct())
+        merged = materialize(components(labelled(labelled(more, "u", "a"), "v", "b").select("a", "b")), "merged")
+        free_shuffles(spark)
+        if merged.isEmpty():
+            continue
+        into = merged.select(F.col("node").alias("__from"), F.col("component").alias("__into"))
+        moved = comp.join(into.hint("merge"), comp["component"] == into["__from"], "left").select("node", F.coalesce("__into", "component").alias("component"))
+        comp = moved.unionByName(merged.join(comp.hint("merge"), "node", "left_anti"))
+        if i + 1 == len(passes):
+            break
+        comp = materialize(comp, "components")
+        rows = rows.join(into.hint("merge"), rows["comp"] == into["__from"], "left").select("sig", "row", F.coalesce("__into", "comp").alias("comp"), "tag")
+        apart = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
+        former, rows = rows, materialize(rows.join(apart.hint("merge"), "sig", "left_semi"), "open")
+        discard(former)
+        free_shuffles(spark)
+        if rows.isEmpty():
+            break
+    return comp
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", passes: tuple = PLAIN) -> DataFrame:
+    """One row for each row of the table ``docs``: doc_id, n_shingles, component_id, n_texts (different sets in the component).
+
+    Defined results: null and empty texts and texts without words have an empty set and a component of their own; texts
+    of fewer than k words have their word sequence as the only element; repeated rows are linked as equal sets; a null id
+    counts only if a component has no other; an empty table gives no rows; other columns are ignored. ``passes``: PLAIN or
+    GROWING, with equal results."""
+    found = _grouped(docs, k, num, den, id_col, text_col, passes)
+    return found.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_texts")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the table ``docs`` that stay: of each component the document with the smallest id."""
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col, passes=GROWING)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__winnow_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__winnow_id"]), "left_semi")
+    """The rows of the table ``docs`` that stay, with their columns: of each component one row, which is the one with the
+    smallest id (a null id only if there is no other; of rows that repeat the id, the one whose text's hash is smallest; of
+    rows that repeat id and text, any one)."""
+    found = _grouped(docs, 5, 75, 100, id_col, text_col, GROWING)
+    stays = F.min(F.struct(F.col("doc").isNull().alias("none"), F.col("doc"), F.col("h"))).alias("stays")
+    kept = found.groupBy("component").agg(stays).groupBy(F.col("stays.doc").alias("__winnow_id"), F.col("stays.h").alias("__winnow_h")).agg(F.count("*").alias("__winnow_n"))
+    repeats = found.groupBy(F.col("doc").alias("__winnow_id"), F.col("h").alias("__winnow_h")).agg(F.count("*").alias("rows")).filter("rows > 1")
+    kept, repeats = materialize(kept, "kept"), materialize(repeats, "repeats")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__winnow_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__winnow_h"))
+    rows = docs.join(kept, same, "left_semi")
+    if repeats.isEmpty():
+        return rows
+    # Rows that repeat id and text: as many stay as there are components of theirs (several only of texts without words).
+    once = rows.join(repeats, same, "left_anti")
+    many = rows.join(repeats, same, "left_semi").withColumn("__winnow_row", F.struct(F.col(id_col).cast("long").alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")))
+    one = many.groupBy("__winnow_row").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    one = one.join(kept, F.col("__winnow_row.i").eqNullSafe(F.col("__winnow_id")) & (F.col("__winnow_row.h") == F.col("__winnow_h")))
+    return once.unionByName(one.select(F.explode(F.array_repeat("row", F.col("__winnow_n").cast("int"))).alias("row")).select("row.*"))

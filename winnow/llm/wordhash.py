@@ -1,9 +1,8 @@
 """Vectorised word splitting and hashing over Arrow string batches.
 
 Words are found on UTF-8 bytes, so only ASCII decides where a word ends, as the operators' word patterns ask. A word's
-hash is a sum of random byte values times random position values modulo 2**64, followed by a mixing step; two different
-words collide with a probability of about 2**-64. Work is done in blocks that end between words, so that memory follows
-the block and not the text.
+hash is the mixed sum of its mixed 8-byte parts, each with its place, and its length; two different words collide with a
+probability of about 2**-64.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-_BLOCK = 1 << 20
 _U = np.uint64
 
 
@@ -34,32 +32,35 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed))
 
 
-_BYTE = stream(11, 256)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
-_POS, _POS_HIGH = stream(23, 1024) | _U(1), stream(37, 1024) << _U(1)
-_POS_HIGH[0] = 0  # a word's hash is the same whether or not a long word is near it
+def _bytes(word: np.ndarray, lower: bool) -> np.ndarray:
+    """What each byte counts as: itself or a lower-case letter in a word, a blank elsewhere."""
+    table = np.arange(256)
+    if lower:
+        table[65:91] = table[97:123]
+    return np.where(word, table, 32).astype(np.uint8)
+
 
 _SPACE = np.ones(256, bool)
 _SPACE[[32, *range(9, 14)]] = False
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
 
-#: kind: (bytes of words, byte values). "space": words between ASCII white space, A-Z lowered; "exact": the same, case kept;
+#: "space": words between ASCII white space, A-Z lowered; "exact": the same, case kept;
 #: "alnum": runs of digits, letters (A-Z lowered) and non-ASCII characters.
-KINDS = {"space": (_SPACE, _LOWER), "exact": (_SPACE, _BYTE), "alnum": (_ALNUM, _LOWER)}
+KINDS = {"space": _bytes(_SPACE, True), "exact": _bytes(_SPACE, False), "alnum": _bytes(_ALNUM, True)}
+#: Words of more bytes are hashed one by one.
+_LONG = 64
+_PLACE = np.arange(1 + _LONG // 8, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
+#: The first n bytes of 8, n = 0 to 8.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 @dataclass
 class Words:
-    """hash, start and end byte (in the batch's data) of each word; ``first[i]:first[i + 1]`` are those of text i."""
+    """hash of each word; ``first[i]:first[i + 1]`` are those of text i. ``prefixes``: hashes of the words' first bytes."""
 
     hash: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
     first: np.ndarray
-    data: np.ndarray
-    text_at: np.ndarray
     prefixes: list[np.ndarray]
 
     def of(self, i: int) -> np.ndarray:
@@ -76,43 +77,31 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(texts: pa.Array, kind: str, prefixes: tuple[int, ...] = ()) -> Words:
-    """``prefixes``: numbers of bytes; the words' hashes are also made of just so many first bytes."""
+    """``prefixes``: numbers of bytes, 8 at most; the words' hashes are also made of just so many first bytes."""
     data, at = flat(texts)
-    inside, values = KINDS[kind]
-    n, lo = len(data), 0
-    hashes, starts, ends = [], [], []
-    short: list[list[np.ndarray]] = [[] for _ in prefixes]
-    is_first = np.zeros(n + 1, bool)
-    is_first[at] = True
-    while lo < n:
-        hi = min(n, lo + _BLOCK)
-        while hi < n and inside[data[hi]] and inside[data[hi - 1]] and not is_first[hi]:
-            hi += 1
-        piece = data[lo:hi]
-        word = inside[piece]
-        begins = word.copy()
-        begins[1:] &= ~word[:-1] | is_first[lo + 1 : hi]
-        s = np.flatnonzero(begins)
-        if len(s):
-            stops = word.copy()
-            stops[:-1] &= ~word[1:] | is_first[lo + 1 : hi]
-            e = np.flatnonzero(stops) + 1
-            run = np.cumsum(begins) - 1
-            where = np.arange(hi - lo) - s[np.maximum(run, 0)]
-            weight = _POS[where & 1023]
-            if (e - s).max() > 1024:
-                weight = weight ^ _POS_HIGH[(where >> 10) & 1023]
-            value = values[piece] * weight
-            value[~word] = 0
-            hashes.append(mix(np.add.reduceat(value, s) + (e - s).astype(np.uint64)))
-            for n_bytes, own in zip(prefixes, short, strict=True):
-                own.append(mix(np.add.reduceat(np.where(where < n_bytes, value, _U(0)), s) + _U(n_bytes << 40)))
-            starts.append(s + lo)
-            ends.append(e + lo)
-        lo = hi
-    join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-    start = join(starts, np.int64)
-    return Words(join(hashes, np.uint64), start, join(ends, np.int64), np.searchsorted(start, at), data, at, [join(x, np.uint64) for x in short])
+    n = len(data)
+    data = np.concatenate((KINDS[kind][data], np.zeros(8, np.uint8)))
+    inside = np.zeros(n + 2, bool)
+    inside[1:-1] = data[:n] != 32
+    cut = np.zeros(n + 2, bool)  # between two texts a word ends
+    cut[at + 1] = True
+    start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[1:-1]))
+    size = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[2:])) + 1 - start
+    eight = np.ndarray((n + 1,), "<u8", data.data, strides=(1,))
+    total = size.astype(np.uint64)
+    live = np.flatnonzero(size <= _LONG)
+    for j in range(_LONG // 8):
+        rest = size[live] - 8 * j
+        live, rest = live[rest > 0], rest[rest > 0]
+        if not len(live):
+            break
+        total[live] += mix((eight[start[live] + 8 * j] & _FIRST[np.minimum(rest, 8)]) + _PLACE[j + 1])
+    for i in np.flatnonzero(size > _LONG).tolist():
+        own = np.zeros(-(-int(size[i]) // 8) * 8, np.uint8)
+        own[: size[i]] = data[start[i] : start[i] + size[i]]
+        total[i] += mix(own.view("<u8") + np.arange(1, len(own) // 8 + 1, dtype=np.uint64) * _PLACE[1]).sum(dtype=np.uint64)
+    short = [mix(eight[start] & _FIRST[np.minimum(size, p)]) + _U(p << 40) for p in prefixes]
+    return Words(mix(total), np.searchsorted(start, at), [mix(x) for x in short])
 
 
 _STEP = stream(51, 4096) | _U(1)
@@ -129,6 +118,21 @@ def shingles(w: np.ndarray, k: int) -> np.ndarray:
     return mix(total + _U(size))
 
 
+def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of each text in order, one text after the other, and where each text's begin."""
+    first, n = w.first, np.diff(w.first)
+    every = shingles(w.hash, k) if len(w.hash) >= k else np.empty(0, np.uint64)
+    out = [np.empty(0, np.uint64)]
+    for a, m in zip(first[:-1].tolist(), n.tolist(), strict=True):
+        out.append(np.sort(every[a : a + m - k + 1]) if m >= k else shingles(w.hash[a : a + m], k))
+    at = np.cumsum([len(x) for x in out])
+    flat = np.concatenate(out)
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[at[:-1][at[:-1] < len(flat)]] = True
+    return flat[new], np.concatenate(([0], np.cumsum(new)))[at]
+
+
 def long(x: np.ndarray) -> np.ndarray:
     """The same bits as Spark's long."""
     return np.ascontiguousarray(x).view(np.int64)
