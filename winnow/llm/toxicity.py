@@ -5,9 +5,10 @@ and three words run over the text, the strongest answer of each is kept (max poo
 The score is calibrated by language: the texts' function words tell a language group (the column ``lang`` is not read),
 and the logit's threshold is that of the group, so 0.5 is the best cut of each group's calibration texts.
 
-The fit takes a bounded sample of the labelled rows (``MAX_TRAIN``). Defined results: null and empty texts and texts
+A group's threshold lies between its own best cut and that of all texts, the nearer to its own the more calibration texts
+it has (``PRIOR`` of its rarer label count as much as all texts). The fit takes ``STEPS`` steps over a bounded sample of the labelled rows (``MAX_TRAIN``). Defined results: null and empty texts and texts
 without words get the score of the bias alone; repeated rows count each; without training rows every score is 0; an empty
-table gives no rows. Whole texts are read, in chunks of ``CHUNK`` words, so a worker's memory does not follow the text.
+table gives no rows; other columns are kept, but for one that is named as the score, which takes its place. Whole texts are read, in chunks of ``CHUNK`` words, so a worker's memory does not follow the text.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from .wordhash import mix, slices, words
 
 #: Labelled rows of each label that the fit reads, about.
 MAX_TRAIN = 3_000
+#: Steps of the fit and texts in each, at every size of the sample.
+STEPS, BATCH = 1500, 16
+PRIOR = 20
 CHUNK = 1 << 15
 WIDTHS = (1, 2, 3)
 DIM, FILTERS, SLOTS = 12, 16, 1 << 15
@@ -107,9 +111,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
 
 
-def train(texts: list[str | None], labels: np.ndarray, epochs: int | None = None, rate: float = 0.05, batch: int = 16, seed: int = 7) -> Model:
-    """Adagrad over the texts; one in five is kept out for the thresholds. ``epochs``: at least 4, more for fewer than 5,000 texts."""
-    epochs = epochs or max(4, min(30, 20_000 // max(1, len(texts))))
+def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS, rate: float = 0.05, batch: int = BATCH, seed: int = 7) -> Model:
+    """Adagrad over the texts; one in five is kept out for the thresholds."""
     rng = np.random.default_rng(seed)
     model = Model(
         rng.normal(0, 0.1, (SLOTS * (1 + len(PREFIXES)), DIM)).astype(np.float32),
@@ -133,9 +136,10 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int | None = None
         seen += grad * grad
         value -= rate * grad / np.sqrt(seen)
 
-    for _ in range(epochs):
+    while steps and len(fit):
         fit = rng.permutation(fit)
-        for lo in range(0, len(fit), batch):
+        for lo in range(0, min(len(fit), steps * batch), batch):
+            steps -= 1
             d_filter, d_bias, d_out, d_out_bias = [np.zeros_like(x) for x in model.filters], [np.zeros_like(x) for x in model.bias], np.zeros_like(model.out), 0.0
             at_slot, at_grad = [], []
             for i in fit[lo : lo + batch]:
@@ -186,8 +190,8 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int | None = None
     whole = _threshold(z, labels[held])
     for g in range(len(model.thresholds)):
         own = groups[held] == g
-        enough = min((labels[held][own] == 1).sum(), (labels[held][own] == 0).sum()) >= 20
-        model.thresholds[g] = _threshold(z[own], labels[held][own]) if enough else whole
+        n = min((labels[held][own] == 1).sum(), (labels[held][own] == 0).sum())
+        model.thresholds[g] = (n * _threshold(z[own], labels[held][own]) + PRIOR * whole) / (n + PRIOR)
     return model
 
 
@@ -233,16 +237,15 @@ def hash_text(text: str | None) -> int:
     return zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
 
 
-def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text column, with score."""
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` without its text column, with the score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-    names = [c for c in docs.columns if c != text_col]
+    kept = [c for c in docs.columns if c not in (text_col, name)]
 
     def run(batches):
         for b in slices(batches, 128):
-            own = shared.value.scores(b.column(at)) if shared.value else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), pa.array(own, pa.float64())], names=[*names, "score"])
+            own = shared.value.scores(b.column(len(kept))) if shared.value else np.zeros(b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(own, pa.float64())], names=[*kept, name])
 
-    schema = StructType([*docs.drop(text_col).schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    schema = StructType([*docs.select(*kept).schema.fields, StructField(name, DoubleType())])
+    return docs.select(*kept, text_col).mapInArrow(run, schema)
