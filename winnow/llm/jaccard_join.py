@@ -307,7 +307,7 @@ def _apart(num: int, den: int, carried: int):
 def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, passes: tuple) -> DataFrame:
     """For each row of ``docs``: doc, h (a hash of its text), n, component (a number), component_id, n_texts."""
     scheme, spark = Scheme(num, den), docs.sparkSession
-    carried = CARRIED if len(passes) > 1 else 0
+    carried = CARRIED
     free_shuffles(spark)
     # Numbered once, as the rows are written: another scan of ``docs`` may number them otherwise.
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
