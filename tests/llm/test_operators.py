@@ -5,14 +5,16 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from winnow.llm import chat, decontaminate, exact_dedup, jaccard_join, langid, packing, pseudo_lm, secret_scan, storage, suffix_dedup, toxicity
 from winnow.llm.tokens import encoder, tokenizer_path
-from winnow.llm.wordhash import words
+from winnow.llm.wordhash import shingles, words
 
 SCHEMA = "doc_id long, text string, row string, n long, sig long"
 
@@ -164,6 +166,53 @@ def test_exact_dedup_in_batches(spark, docs, empty):
     assert exact_dedup.drop_exact_copies(docs).columns == docs.columns
 
 
+def test_one_index_over_batches(spark):
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    rows = lambda found: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found.collect())
+    first, second = df([(1, "a"), (2, "a"), (3, "b"), (4, None)]), df([(9, "b"), (10, "c"), (11, "c"), (12, "")])
+    index = exact_dedup.DigestIndex(spark, "winnow_test_index")
+    try:
+        want = [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True), (4, 4, 1, True)]
+        assert rows(index.ingest(first, batch="one")) == want
+        assert rows(exact_dedup.DigestIndex(spark, "winnow_test_index").ingest(first.repartition(3), batch="one")) == want  # again, as after a lost run
+        assert rows(index.ingest(first, batch="other")) == [(*r[:3], False) for r in want]
+        later = [(9, 3, 1, False), (10, 11, 2, False), (11, 11, 2, True), (12, 4, 1, False)]
+        assert rows(index.ingest(second, batch="two")) == later
+        before = sorted(map(tuple, spark.table(index.name).collect()))
+        index.compact()
+        assert sorted(map(tuple, spark.table(index.name).collect())) == before and len(before) == 4
+        assert len(spark.table(index.name).inputFiles()) <= index.buckets
+        assert rows(index.ingest(second, batch="two")) == later
+    finally:
+        index.drop()
+
+
+def test_near_copies_with_repeated_ids(spark, tmp_path):
+    long = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, long, 1), (5, long, 2), (5, "another text of this id", 3), (7, long + " end", 4), (3, "another text of this id", 5), (None, "with no id", 6), (8, None, 7), (8, None, 8), (8, "", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, h long").repartition(3).write.parquet(str(tmp_path / "repeats"))
+    kept = [(r.doc_id, r.text, r.h) for r in jaccard_join.drop_near_copies(spark.read.parquet(str(tmp_path / "repeats"))).collect()]
+    assert sorted((str(a), str(t)) for a, t, _ in kept if t) == sorted([("5", long), ("3", "another text of this id"), ("None", "with no id")])
+    assert len([1 for a, t, _ in kept if not t]) == 3 and len(kept) == 6
+
+
+def test_hot_grams_are_sorted_in_groups(docs, empty, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", 2)
+    test_repeated_passages(docs, empty)
+
+
+def test_chosen_places_are_the_smallest():
+    rng = np.random.default_rng(4)
+    for n in (50, 51, 92, 93, 400, 3000):
+        w = rng.integers(0, 2**64, n, dtype=np.uint64) if n % 2 else rng.integers(0, 3, n).astype(np.uint64)
+        grams = [int(g) >> 20 for g in shingles(w, 8)]
+        want = [min(range(i, i + 43), key=lambda k: (grams[k], k)) for i in range(n - 49)]
+        for at_once in (suffix_dedup._AT_ONCE, 37):
+            suffix_dedup._AT_ONCE, before = at_once, suffix_dedup._AT_ONCE
+            assert suffix_dedup.chosen(w, 50).tolist() == want
+            suffix_dedup._AT_ONCE = before
+
+
 def test_decontamination(spark, docs, empty):
     texts = [t for _, t in corpus()]
     items = [(1, " ".join(texts[4].split()[:40])), (2, "a b"), (2, "a b"), (3, None), (4, "zz " * 20), (None, texts[5]), (10, texts[6])]
@@ -207,9 +256,54 @@ def test_packing(docs, empty):
     assert len(by) <= 1.1 * sum(r.length for r in rows) / 1024 + 1
 
 
+def test_pieces_are_the_library_s(spark, tmp_path):
+    enc = encoder(tokenizer_path())
+    rng = random.Random(8)
+    texts = [None, "", "a", "日本 мир", " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000)), "x" * 5000, "é " * 1023, "a " * 1022 + "a", "a<|endoftext|>b\0c"]
+    rows = [(i, t, "r", i, "n") for i, t in enumerate(texts)] + [(4, texts[4], "r", 0, "n")]
+    spark.createDataFrame(rows, "doc_id long, text string, task string, number long, starts string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    got = {}
+    for r in packing.pack(spark.read.parquet(str(tmp_path / "docs")), with_ids=True).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32, r.ids))
+    for i, t in enumerate(texts):
+        ids, at, want = [*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 2], 0, []
+        while at < len(ids):
+            n = (len(ids) - at - 1) % 1024 + 1 if at == 0 else 1024
+            part = ids[at : at + n]
+            want.append((len(want), at, n, zlib.crc32(np.array(part, "<u4").tobytes()), part))
+            at += n
+        assert sorted(got[i]) == sorted(want * (2 if i == 4 else 1)), i
+
+
+def test_plans_are_whole_and_close_to_the_least():
+    rng = random.Random(3)
+    for total, most in ((1, 1024), (5, 40), (300, 1024), (4000, 700)):
+        counts = collections.Counter(min(1024, 1 + int(rng.random() ** 2 * most)) for _ in range(total))
+        counts[1024] += total // 3
+        runs, used, room = packing.plan(dict(counts), 1024), collections.Counter(), {}
+        ranks = {}
+        for size, rank, n, first, offset in runs:
+            used[size] += n
+            ranks.setdefault(size, []).append((rank, rank + n))
+            for k in range(first, first + n):
+                room.setdefault(k, []).append((offset, size))
+        assert used == +counts
+        assert all(sorted(r)[0][0] == 0 and all(a[1] == b[0] for a, b in itertools.pairwise(sorted(r))) for r in ranks.values())
+        for own in room.values():
+            at = 0
+            for offset, size in sorted(own):
+                assert offset == at
+                at += size
+            assert at <= 1024
+        assert len(room) <= 1.02 * sum(k * v for k, v in counts.items()) / 1024 + 2
+    whole = packing.configurations([400, 300, 200], [10, 10, 10], 1000)
+    met = sum(np.floor(n + 1e-6) * c for c, n in whole)
+    assert sum(n for _, n in whole) == pytest.approx(9, rel=2e-3) and (met <= 10 + 1e-6).all()
+
+
 def test_tokens_equal_the_library():
     enc = encoder(tokenizer_path())
-    for text in ("", "it's  we'LL\n\n x", "naïve café ²³ 10½", "a<|endoftext|>b", "日本 мир ß", "\x1c tab\t\x85\xa0", " '' 's", "emoji 🙂🙂"):
+    for text in ("", "it's  we'LL\n\n x", "naïve café ²³ 10½", "a<|endoftext|>b", "日本 мир ß", "\x1c tab\t\x85\xa0", " '' 's", "emoji 🙂🙂", "x's 's ''s 'll'RE we'vex", "a\0b", "\n\n's", " \n a", "a \t "):
         assert list(np.frombuffer(enc.encode(text), "<u4")) == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -239,6 +333,63 @@ def test_secret_spans(spark, docs, empty):
     assert secret_scan.digest(secret_scan.scan(docs)).count() == len(corpus()) and secret_scan.scan(empty).count() == 0
 
 
+def test_secrets_against_plain_python(spark):
+    rng = random.Random(6)
+    key = lambda n, kind: "".join(rng.choice({"hex": "0123456789abcdef", "Hex": "0123456789ABCDEF", "alnum": "abcXYZ019kLmNoPqRsTuV", "sym": "ab01+/_=-XyZ9"}[kind]) for _ in range(n))
+    bit = lambda: rng.choice([key(rng.randrange(18, 60), rng.choice(["hex", "Hex", "alnum", "sym"])), key(230, "alnum"), "a" * 30 + "1", "word", "token=x1y2z3", "AKIA" + "Q7" * 9, "0123456789" * 3, "é🙂", key(20, "alnum") + "example"])
+    texts = [None, "", *(" ".join(bit() for _ in range(rng.randrange(1, 12))) for _ in range(40)), " ".join(f"token=abc{i:06}" for i in range(3000))]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, assign long")
+
+    def entropy(s):
+        if any(re.search(p, s) for p in secret_scan.ALLOWED):
+            return []
+        least = next(b for _, p, b in secret_scan.CLASSES if not p or re.search(p, s))
+        terms = lambda w: sum(secret_scan.TERM[n] for n in collections.Counter(w).values())
+        hot = [k for k in range(len(s) - 19) if terms(s[k : k + 20]) <= secret_scan.limit(least)]
+        return [(hot[0], hot[-1] + 20)] if hot else []
+
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(df, id_col="assign"), id_col="assign").collect()}
+    for i, t in enumerate(texts):
+        spans = [(m.start(), j, m.end(), k) for j, (k, p, g, n) in enumerate(secret_scan.KINDS) for m in re.finditer(p, t or "") if len(m[g]) >= n]
+        base = ",".join(f"{k}:{a}:{z}" for a, _, z, k in sorted(spans))
+        spans += [(m.start() + a, 3, m.start() + z, "entropy") for m in re.finditer(secret_scan.CANDIDATE, t or "") for a, z in entropy(m[0])]
+        assert got[i].spans == ",".join(f"{k}:{a}:{z}" for a, _, z, k in sorted(spans)), i
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    assert got[len(texts) - 1].n_assign == 3000
+
+
+def test_language_by_plain_out_of_place_distance(spark):
+    rng = random.Random(9)
+    alphabet = {"x": "aeiou nst", "y": "aeiou krg", "z": "äöü szt"}
+    text = lambda a, n: "".join(rng.choice(alphabet[a]) for _ in range(n))
+    rows = [(text(a, 200), a) for a in alphabet for _ in range(20)]
+
+    def grams(texts):
+        counts = collections.Counter()
+        for t in texts:
+            line = " " + " ".join(re.findall(r"[^\W\d_]+", t.lower())) + " "
+            counts.update(line.replace(" ", ""))
+            for n in (2, 3):
+                counts.update(line[i : i + n] for i in range(len(line) - n + 1) if line.strip())
+        return counts
+
+    point = lambda c: 0 if c == " " else ord(c)
+
+    def number(g):  # n-grams of equal counts go by their 21-bit code points, two letters after three
+        return sum(point(c) << 21 * i for i, c in enumerate(reversed(g))) | (len(g) == 2) << 63
+
+    signed = lambda g: number(g) - (1 << 64) if number(g) >> 63 else number(g)
+    rank = lambda counts, key: {g: i for i, g in enumerate(sorted(counts, key=lambda g: (-counts[g], key(g)))[: langid.RANKS])}
+    profiles = {a: rank(grams(t for t, lang in rows if lang == a), signed) for a in alphabet}
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    for t in [text(rng.choice("xyz"), rng.randrange(3, 120)) for _ in range(60)] + ["aa", "Äö, 12"]:
+        own = rank(grams([t]), number)
+        distance = {a: sum(abs(i - p[g]) if g in p else langid.RANKS for g, i in own.items()) for a, p in profiles.items()}
+        best = min(sorted(distance), key=distance.get)
+        lang, score = model.predict(t)
+        assert (lang, score) == (best, pytest.approx(1 - distance[best] / (len(own) * langid.RANKS))) if own else ("und", 0.0)
+
+
 def test_language_profiles(spark, docs, empty):
     train = spark.createDataFrame([("the cat and the dog " * 5, "en"), ("der hund und die katze " * 5, "de"), (None, "en"), ("x", None)], "text string, lang string")
     profiles = langid.fit(train)
@@ -259,6 +410,61 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty.select("doc_id", "text"), model).count() == 0
 
 
+def test_scores_are_the_network_s_in_plain_loops():
+    rng = random.Random(4)
+    words_ = ["red", "blue", "green", "the", "of", "bad", "Über", "x1"]
+    texts = [" ".join(rng.choice(words_) for _ in range(rng.randrange(0, 40))) for _ in range(30)]
+    model = toxicity.train(texts, np.array(["bad" in t for t in texts]).astype(int), steps=4)
+    slots, first, groups = toxicity.features(pa.array(texts))
+    got = model.scores(pa.array(texts))
+    for i in range(len(texts)):
+        x = [sum(model.embed[s].astype(float) for s in row) for row in slots[first[i] : first[i + 1]]]
+        z = model.out_bias
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                answers = [sum(float(x[p + j] @ model.filters[k][j * toxicity.DIM : (j + 1) * toxicity.DIM, f]) for j in range(width)) + model.bias[k][f] for p in range(len(x) - width + 1)]
+                z += max([0.0, *answers]) * model.out[k * toxicity.FILTERS + f]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(z - model.thresholds[groups[i]]))), abs=1e-4)
+
+
+def test_likelihood_in_plain_loops(spark):
+    texts = ["a b a c a b a d " * 30, "b c d " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pseudo_lm.fit(df)
+    numbers, net, _ = model
+    got = {r.doc_id: r for r in pseudo_lm.score(df, model).collect()}
+    soft = lambda y: np.exp(y - y.max()) / np.exp(y - y.max()).sum()
+    for i, t in enumerate(texts):
+        num, total = [int(numbers.of(words(pa.array([w]), "space").hash)[0]) for w in t.split()], 0.0
+        for k, v in enumerate(num):
+            around = [num[k + d] if 0 <= k + d < len(num) else pseudo_lm.VOCABULARY for d in (-2, -1, 1, 2)]
+            h = np.append(np.tanh(sum(net.embed[p][a].astype(float) for p, a in enumerate(around))), 1.0)
+            c, low = divmod(v, pseudo_lm.CLASSES)
+            total += np.log(soft(h @ net.top)[c]) + np.log(soft(h @ net.low[c])[low])
+        assert got[i].n_tokens == len(num) and got[i].log_likelihood == pytest.approx(total, rel=1e-3)
+
+
+def test_columns_that_clash_with_results(spark):
+    rows = [(1, "the cat and the dog " * 20, 1.5, "p", 7), (2, "der hund und die katze " * 20, 2.5, "q", 8), (3, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, lang_pred string, row long")
+    more = {c: F.lit(i) for i, c in enumerate(["n_words", "n_hit", "items", "hits", "kept", "contaminated", "component_id", "n_shingles", "component", "sig", "doc", "h", "n", "d1", "d2", "keep_id", "group_size", "digest", "first_word", "gram", "piece", "length", "sequence_id", "offset", "task", "number", "starts", "n_tokens", "rest", "assign", "entropy", "spans", "block", "window", "__index"])}
+    wide = df.withColumns(more)
+    model = langid.fit(spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de")], "text string, lang string"))
+    found = langid.identify(wide, model).collect()
+    assert [(r.lang_pred, r.n_hit) for r in sorted(found, key=lambda r: r.doc_id)] == [("en", 1), ("de", 1), ("und", 1)]
+    assert langid.identify(df, model, names=("a", "b")).columns == [*df.columns, "a", "b"]
+    assert toxicity.score(wide, None).filter("score = 0").count() == 3 and "text" not in toxicity.score(wide, None).columns
+    assert pseudo_lm.score(wide, pseudo_lm.fit(wide)).count() == 3
+    bench = spark.createDataFrame([(1, "der hund und die katze " * 3, "x")], "item_id long, text string, item string")
+    assert [r.doc_id for r in decontaminate.drop_contaminated(wide, bench).collect()] == [1, 3]
+    assert decontaminate.decontaminate(wide, bench).filter("contaminated").count() == 1
+    for operator in (jaccard_join.jaccard_components, jaccard_join.drop_near_copies, exact_dedup.drop_exact_copies, packing.pack, lambda x: secret_scan.digest(secret_scan.scan(x))):
+        assert operator(wide).count() == 3
+    assert suffix_dedup.repeated_passages(wide).count() == 2
+    chats = spark.createDataFrame([(1, 1, "user", "x", 5, True)], "conv_id long, turn long, role string, text string, part long, last boolean")
+    assert chat.read_back(chat.format_chats(chats)).count() == 1
+
+
 def test_pseudo_likelihood(spark, docs, empty):
     rows = [(i, "one two three four five six " * 20) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -1,12 +1,13 @@
 """Language identification by rank-order profiles.
 
-A profile is the list of a language's most frequent letter n-grams (n = 1 to 3, words padded with a blank) in order of
+A profile is the list of a language's most frequent letter n-grams (n = 1 to 3, with one blank before, between and after words) in order of
 frequency. A document's own list is held against each: an n-gram adds the distance between its two ranks, or the
 profile's length if the language lacks it; the language with the smallest sum wins.
 
 Defined results: ``und`` with score 0 if a text is null or has no letter, or if there is no training text; otherwise the
 score is one less the winner's distance over the largest possible one. Ties go to the language first in the alphabet.
-Repeated rows count each; an empty table gives no rows; other columns are ignored. Whole texts are read.
+Repeated rows count each; an empty table gives no rows; other columns are kept, but for those that are named as a result,
+which takes their place. Whole texts are read.
 """
 
 from __future__ import annotations
@@ -124,16 +125,17 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_tr
     return Profiles({k: np.array(v, np.int64).view(np.uint64) for k, v in lists.items()}, ranks)
 
 
-def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score, the input's columns first."""
+def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score, the input's columns first."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    names = [*docs.columns, "lang_pred", "score"]
-    at = docs.columns.index(text_col)
+    kept = [c for c in docs.columns if c not in names]
+    read = [*kept, *([] if text_col in kept else [text_col])]
 
     def run(batches):
         for b in slices(batches):
-            found = [shared.value.predict(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=names)
+            found = [shared.value.predict(t) for t in b.column(read.index(text_col)).to_pylist()]
+            both = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *both], names=[*kept, *names])
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    schema = StructType([*docs.select(*kept).schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return docs.select(*read).mapInArrow(run, schema)

@@ -40,9 +40,8 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_chats(rows.unionByName(own)))
+    own = spark.createDataFrame([(-1, 0, "user", _SAID), (-1, 1, "assistant", _SAID)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_chats(rows.unionByName(own))).drop("n_tokens", "loss_tokens")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +64,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.DigestIndex(spark).ingest(_table(spark, sf_dir, "documents")).drop("row_id")
+    index = exact_dedup.DigestIndex(spark)
+    found = index.ingest(_table(spark, sf_dir, "documents")).drop("row_id")
+    index.drop()  # the result does not read it any more
+    return found
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +127,44 @@ from d left join every using (doc_id)
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+WORDS = r"'[^\x20\x09-\x0D]+'"
+
+OP2_SQL = f"""
+with t as (select doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) as w from documents),
+windows as (select doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) as h from (select doc_id, w, unnest(range(0, len(w) - 49)) as i from t where len(w) >= 50)),
+hits as (select doc_id, i from (select *, count(*) over (partition by h) as n from windows) where n > 1),
+runs as (
+  select *, sum(new) over (partition by doc_id order by i) as run
+  from (select *, case when i > lag(i) over (partition by doc_id order by i) + 50 then 1 else 0 end as new from hits))
+select doc_id, min(i)::bigint as first_word, (max(i) + 50)::bigint as end_word, (max(i) + 50 - min(i))::bigint as n_words from runs group by doc_id, run
+"""
+
+OP3_SQL = f"""
+with recursive t as (select doc_id, regexp_extract_all({LOWER}, {WORDS}) as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] else list_distinct([array_to_string(w[i:i + least(5, len(w)) - 1], ' ') for i in range(1, len(w) - least(5, len(w)) + 2)]) end as sh from t),
+u as (select doc_id, unnest(sh) as x from s),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by all),
+links as (select a, b from shared join s p on p.doc_id = a join s q on q.doc_id = b where 100 * n >= 75 * (len(p.sh) + len(q.sh) - n)),
+edges as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (select doc_id, doc_id from s union select e.a, r.other from reach r join edges e on e.b = r.doc_id)
+select r.doc_id, len(first(own.sh))::bigint as n_shingles, min(r.other) as component_id, count(distinct md5(array_to_string(list_sort(far.sh), chr(10))))::bigint as n_texts
+from reach r join s own on own.doc_id = r.doc_id join s far on far.doc_id = r.other group by r.doc_id
+"""
+
+_SAID = "</s>[INST] ok [/INST]"
+_MARKS = r"'[<\[]\\*/?(s>|INST\])'"
+OP4_SQL = f"""
+with r as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-1, 0, 'user', '{_SAID}'), (-1, 1, 'assistant', '{_SAID}')))
+select conv_id::bigint as conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  ({len(chat.BEGIN)} + sum({len(chat.ROLE + chat.TEXT + chat.END)} + length(role) + length(text) + len(regexp_extract_all(role, {_MARKS})) + len(regexp_extract_all(text, {_MARKS}))))::bigint as formatted_chars
+from r group by conv_id
+"""
+
 OP8_SQL = """
 select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id, count(*) over (partition by coalesce(text, '')) as group_size,
   row_number() over (partition by coalesce(text, '') order by doc_id desc) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
@@ -162,4 +202,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_scan": _op5_sql(), "op8_exact_dedup": OP8_SQL, "op9_decontaminate": OP9_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_chat_format": OP4_SQL, "op5_secret_scan": _op5_sql(), "op8_exact_dedup": OP8_SQL, "op9_decontaminate": OP9_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset and driver and
+    executors are one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share.")
         named = tempfile.mkdtemp(prefix="winnow-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
