@@ -1,5 +1,6 @@
 """JSON values to typed Python values. Each parser returns the value or raises ``ParseError`` with the text for the client.
 
+The texts for clients and the names of JSON kinds and types in them are fixed values of the wire format.
 Narrower than a lenient parser on purpose: dates and times are ISO 8601 only, a JSON number for an integer has no
 fraction or exponent, identifiers have the hyphenated form of 36 characters."""
 
@@ -107,7 +108,7 @@ def _text(name: str, what: str, convert: Callable[[str], Any]) -> Parser:
             raise ParseError(f"Expected JSON String for {name}, got {kind(value)}.")
         try:
             return convert(value)
-        except ValueError:
+        except (ValueError, OverflowError):
             raise ParseError(f"String '{value}' is not a valid {what}.") from None
 
     return parse
@@ -171,7 +172,7 @@ def enum(name: str, members: list[str], stored: str) -> Parser:
         if k == "String":
             number = by_name.get(value.strip().upper())
             if number is None and re.fullmatch(r"[+-]?[0-9]+", value.strip(), re.ASCII):
-                number = int(value)
+                number = int(value) if len(value) < 4000 else None
             if number is None:
                 raise ParseError(f"String '{value}' is not a valid member of enum {name}.")
         elif k == "Number":
