@@ -180,6 +180,43 @@ def test_declarations(spark, frame):
             filter_for(frame)(type("Wrong", (), {f"m{i}": m for i, m in enumerate(wrong())}))
 
 
+def test_a_link_is_joined_once_for_filter_and_sort(frame):
+    schema = SchemaBuilder("node").add(prop("id", P.INT32).sort(), prop("n", P.INT32).sort())
+    schema.nest(Hop("up", "t", ("n",), ("id",)), lambda: schema, max_depth=2)
+    d = FilterDefinition(schema, {"t": frame}, verify_keys=True)
+    request = FilterRequest(Leaf("up.n", "ne", 2), (SortItem("up.id", 1), SortItem("up.up.n"), SortItem("id")), 1, 50)
+    found = d.apply(frame, request)
+    assert found._jdf.queryExecution().analyzed().toString().count("Join LeftOuter") == 2
+    up = {r[0]: r for r in ROWS}
+    above = lambda r: up.get(r[2]) if r and r[2] is not None else None
+    key = lambda r: (above(r) is None, -(above(r) or (0,))[0], (above(above(r)) or (0, 0, None))[2] is not None, (above(above(r)) or (0, 0, 0))[2] or 0, r[0])
+    want = [r[0] for r in sorted((r for r in ROWS if above(r) is None or above(r)[2] != 2), key=key)][:50]
+    assert [r.id for r in found.collect()] == want
+    assert [r.id for r in d.apply_paged(frame, request).items] == want
+    with pytest.raises(FilterDispatchError):
+        FilterDefinition(schema, {"t": frame.union(frame)}, verify_keys=True).apply(frame, request)
+
+
+def test_declaration_rules(spark, frame):
+    inner = spark.createDataFrame([(1, (2, 3))], "id int, s struct<a:int,b:int>")
+    with pytest.warns(UserWarning, match="may be null"):
+        filter_for(inner)(type("Through", (), {"a": map_("s.a", sortable=True)}))
+    with pytest.warns(UserWarning, match="not sortable"):
+        filter_for(inner)(type("Unsorted", (), {"a": map_("id")}))
+    for module in ("one", "two"):
+        filter_for(inner)(type("Twice", (), {"__module__": module, "a": map_("id", sortable=True)}))
+    filter_for(inner)(type("Twice", (), {"__module__": "two", "a": map_("id", sortable=True)}))
+    outer = filter_for(inner)(type("Outer", (), {"t": nested("t", "Twice", table="t", on={"id": "id"})}))
+    with pytest.raises(FilterConfigurationError, match="Several"):
+        outer.definition(t=inner)
+    remote = filter_for(inner)(type("Remote", (), {"t": nested("t", outer, table="t", on={"id": "nope"})}))
+    with pytest.raises(FilterConfigurationError, match="nope"):
+        remote.definition(t=inner)
+    far = filter_for(inner)(type("Far", (), {"t": nested("t", outer, table="t", on={"nope": "id"}, via=[Hop("v", "t", ("id",), ("id",))])}))
+    with pytest.raises(FilterConfigurationError, match="nope"):
+        far.definition(t=inner)
+
+
 def test_streams_take_filters_only(spark):
     stream = spark.readStream.format("rate").load()
     d = FilterDefinition(SchemaBuilder("rate").add(prop("value", P.INT64).sort()))

@@ -33,8 +33,11 @@ from .plans.schema import MAX_DEPTH, Accessor, Hop, SchemaBuilder, prop
 from .plans.schema import rule as computed
 
 _DEFAULTS = [Settings()]
-#: Filters by name, for nestings that name their target.
-REGISTRY: dict[str, type] = {}
+#: Filters by name, for nestings that name their target: under a name, by where they were defined; a class that is defined
+#: again takes its own place.
+REGISTRY: dict[str, dict[tuple[str, str], type]] = {}
+#: Types of columns that are mostly sorted by.
+_MEASURES = (T.IntegerType, T.LongType, T.ShortType, T.DecimalType, T.DoubleType, T.FloatType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def set_defaults(**limits: int) -> None:
@@ -167,11 +170,32 @@ def _type_at(struct: T.StructType, path: str) -> T.DataType:
     return kind
 
 
+def _through_null(struct: T.StructType, path: str) -> bool:
+    *parents, _ = path.split(".")
+    for part in parents:
+        if struct[part].nullable:
+            return True
+        struct = struct[part].dataType
+    return False
+
+
+def _check_links(builder: SchemaBuilder, tables: Mapping[str, DataFrame]) -> None:
+    """Each hop of this filter's own nestings against the tables that are given: their columns exist and are no collections."""
+    for n in builder.nested:
+        for i, hop in enumerate(n.hops):
+            after = n.hops[i + 1].local if i + 1 < len(n.hops) else ()
+            for c in (*hop.remote, *after) if hop.table in tables else ():
+                if isinstance(_type_at(tables[hop.table].schema, c), (T.ArrayType, T.MapType)):
+                    raise FilterConfigurationError(f"'{builder.key}.{hop.name}' links by '{c}', which is a collection.")
+
+
 def _resolved(target: Any) -> SchemaBuilder:
     if isinstance(target, str):
-        if target not in REGISTRY:
-            raise FilterConfigurationError(f"No filter is named '{target}'.")
-        target = REGISTRY[target]
+        named = REGISTRY.get(target, {})
+        if len(named) != 1:
+            places = ", ".join(".".join(place) for place in named)
+            raise FilterConfigurationError(f"Several filters are named '{target}': {places}." if named else f"No filter is named '{target}'.")
+        (target,) = named.values()
     elif callable(target) and not isinstance(target, type):
         target = target()
     if not isinstance(getattr(target, "builder", None), SchemaBuilder):
@@ -205,6 +229,10 @@ def filter_for(rows: T.StructType | DataFrame, known: Iterable[Profile] = BUILT_
             if isinstance(m, Map):
                 take(m.name, "map")
                 kind = _type_at(struct, m.name)
+                if _through_null(struct, m.name):
+                    warnings.warn(f"'{m.name}' reads a member of a struct that may be null.", stacklevel=2)
+                if not m.sortable and isinstance(kind, _MEASURES):
+                    warnings.warn(f"'{m.name}' is of type '{kind.simpleString()}' and not sortable.", stacklevel=2)
                 own = m.profile
                 if own is not None and not isinstance(own, Profile):
                     raise FilterConfigurationError(f"The profile of '{m.name}' is not a profile.")
@@ -240,8 +268,13 @@ def filter_for(rows: T.StructType | DataFrame, known: Iterable[Profile] = BUILT_
                 warnings.warn(f"'{m.name}' has no operators left.", stacklevel=2)
             builder.add(made)
         cls.builder = builder
-        cls.definition = staticmethod(lambda **tables: FilterDefinition(builder.build(), tables))
-        REGISTRY[cls.__name__] = cls
+
+        def definition(**tables: DataFrame) -> FilterDefinition:
+            _check_links(builder, tables)
+            return FilterDefinition(builder.build(), tables)
+
+        cls.definition = staticmethod(definition)
+        REGISTRY.setdefault(cls.__name__, {})[cls.__module__, cls.__qualname__] = cls
         return cls
 
     return wrap

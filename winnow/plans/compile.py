@@ -21,11 +21,11 @@ def predicate(node: Bound | BoundGroup, negated: bool = False) -> Column:
     if isinstance(node, Bound):
         return node.operator.build(node.prop.column(ROOT), node.value, negated)
     if not isinstance(node, BoundGroup) or not node.children:
-        raise FilterDispatchError("A group without children or an unknown node cannot be compiled (validation should have caught this).")
+        raise FilterDispatchError("Only bound leaves and groups with children compile.")
     if node.op == "not":
         return predicate(node.children[0], not negated)
     if node.op not in ("and", "or"):
-        raise FilterDispatchError(f"Unknown combinator '{node.op}' (validation should have caught this).")
+        raise FilterDispatchError(f"'{node.op}' combines nothing: and, or, not do.")
     both = (node.op == "and") != negated
     return reduce(operator.and_ if both else operator.or_, [predicate(c, negated) for c in node.children])
 
@@ -44,17 +44,17 @@ def ordering(schema: FilterSchema, items: tuple[SortItem, ...]) -> tuple[list[Co
     for item in items:
         prop = schema.find(item.field) if item else None
         if prop is None or not prop.sortable:
-            raise FilterDispatchError(f"'{item.field if item else None}' cannot be sorted by (validation should have caught this).")
+            raise FilterDispatchError(f"No order by '{item.field if item else None}' is declared.")
         direction = prop.default_dir if item.dir is None else item.dir
         if direction not in (0, 1):
-            raise FilterDispatchError(f"Unreachable sort direction '{direction}' for property '{prop.field}' (validation should have caught this).")
+            raise FilterDispatchError(f"'{prop.field}' sorts by direction 0 or 1, not {direction}.")
         column = prop.column(ROOT)
         columns.append(column.desc_nulls_last() if direction else column.asc_nulls_first())
         used.append(prop)
     return columns, used
 
 
-def joined(df: DataFrame, used: list[FilterProperty], tables: dict[str, DataFrame], verify_keys: bool = False) -> DataFrame:
+def joined(df: DataFrame, used: list[FilterProperty], tables: dict[str, DataFrame], verified: set[tuple] | None = None) -> DataFrame:
     """``df`` with the tables that ``used`` reads, each link once. Left joins: a row without a partner has nulls there, and
     Catalyst makes them inner joins where the filter rejects nulls. A link's table has at most one row for a key."""
     df = df.alias(ROOT.alias)
@@ -65,17 +65,21 @@ def joined(df: DataFrame, used: list[FilterProperty], tables: dict[str, DataFram
             inner = scope.to([hop])
             if inner.alias not in done:
                 done.add(inner.alias)
-                other = _table(hop, tables, verify_keys).alias(inner.alias)
+                other = _table(hop, tables, verified).alias(inner.alias)
                 same = reduce(operator.and_, [scope[a] == inner[b] for a, b in zip(hop.local, hop.remote, strict=True)])
                 df = df.join(other, same, "left")
             scope = inner
     return df
 
 
-def _table(hop: Hop, tables: dict[str, DataFrame], verify_keys: bool) -> DataFrame:
+def _table(hop: Hop, tables: dict[str, DataFrame], verified: set[tuple] | None) -> DataFrame:
+    """``verified``: keys that are known to be unique; None to take that on trust."""
     if hop.table not in tables:
         raise FilterDispatchError(f"Nesting '{hop.name}' needs table '{hop.table}', which was not given.")
     table = tables[hop.table]
-    if verify_keys and not table.groupBy(*hop.remote).count().filter((F.col("count") > 1) & reduce(operator.and_, [F.col(c).isNotNull() for c in hop.remote])).isEmpty():
-        raise FilterDispatchError(f"Table '{hop.table}' has several rows for a key of '{hop.name}'.")
+    if verified is not None and (hop.table, hop.remote) not in verified:
+        known = reduce(operator.and_, [F.col(c).isNotNull() for c in hop.remote])
+        if not table.filter(known).groupBy(*hop.remote).agg(F.count("*").alias("__n")).filter("__n > 1").isEmpty():
+            raise FilterDispatchError(f"Table '{hop.table}' has several rows for a key of '{hop.name}'.")
+        verified.add((hop.table, hop.remote))
     return table

@@ -15,11 +15,13 @@ from .validate import MAX_SKIP, resolve_page_size, validate
 
 
 class FilterDefinition:
-    """``tables``: by name, what nested schemas link to; ``verify_keys`` checks that links are many-to-one (one job each)."""
+    """``tables``: by name, what nested schemas link to; ``verify_keys`` checks that links are many-to-one (one job a table and
+    key, the first time a request reads it)."""
 
     def __init__(self, schema: FilterSchema | SchemaBuilder, tables: Mapping[str, DataFrame] | None = None, verify_keys: bool = False):
         self.schema = schema.build() if isinstance(schema, SchemaBuilder) else schema
         self.tables, self.verify_keys = dict(tables or {}), verify_keys
+        self._verified: set[tuple] = set()
 
     def with_tables(self, **tables: DataFrame) -> FilterDefinition:
         return FilterDefinition(self.schema, self.tables | tables, self.verify_keys)
@@ -36,21 +38,17 @@ class FilterDefinition:
             raise FilterValidationError(result)
         return tree
 
-    def _filtered(self, df: DataFrame, tree) -> DataFrame:
-        if tree is None:
+    def _run(self, df: DataFrame, tree=None, sort=None) -> DataFrame:
+        """Filtered and sorted; each link that either reads is joined once."""
+        if tree is None and not sort:
             return df
-        return joined(df, list(properties(tree)), self.tables, self.verify_keys).filter(predicate(tree)).select(f"{ROOT.alias}.*")
+        columns, used = ordering(self.schema, sort or ())
+        out = joined(df, [*properties(tree), *used], self.tables, self._verified if self.verify_keys else None)
+        out = out if tree is None else out.filter(predicate(tree))
+        out = out.orderBy(*columns) if columns else out
+        return out.select(f"{ROOT.alias}.*")
 
-    def apply_filter(self, df: DataFrame, request: FilterRequest) -> DataFrame:
-        """The rows that ``where`` keeps; ``df`` itself without one."""
-        return self._filtered(df, self._valid(FilterRequest(request.where)))
-
-    def apply_sorting(self, df: DataFrame, request: FilterRequest) -> DataFrame:
-        """Sorted, and the page if one is asked for; a page below 1 and a page size outside the limits are clamped here."""
-        if request.sort:
-            guard(df, "sorted")
-            columns, used = ordering(self.schema, request.sort)
-            df = joined(df, used, self.tables, self.verify_keys).orderBy(*columns).select(f"{ROOT.alias}.*")
+    def _page(self, df: DataFrame, request: FilterRequest) -> DataFrame:
         if request.page is None and request.page_size is None:
             return df
         guard(df, "paged")
@@ -61,18 +59,32 @@ class FilterDefinition:
         df = df.offset(skip) if skip else df
         return df.limit(min(size, MAX_SKIP - skip))
 
+    def apply_filter(self, df: DataFrame, request: FilterRequest) -> DataFrame:
+        """The rows that ``where`` keeps; ``df`` itself without one."""
+        return self._run(df, self._valid(FilterRequest(request.where)))
+
+    def apply_sorting(self, df: DataFrame, request: FilterRequest) -> DataFrame:
+        """Sorted, and the page if one is asked for; a page below 1 and a page size outside the limits are clamped here."""
+        if request.sort:
+            guard(df, "sorted")
+        return self._page(self._run(df, None, request.sort), request)
+
     def apply(self, df: DataFrame, request: FilterRequest) -> DataFrame:
         """Validates, filters, sorts and pages; lazy."""
-        return self.apply_sorting(self._filtered(df, self._valid(request)), request)
+        tree = self._valid(request)
+        if request.sort:
+            guard(df, "sorted")
+        return self._page(self._run(df, tree, request.sort), request)
 
     def apply_paged(self, df: DataFrame, request: FilterRequest, cache: bool = False) -> PageResult:
         """Two jobs: the count of the filtered rows, and the page. ``cache`` keeps the filtered rows between them."""
         guard(df, "paged")
-        filtered = self._filtered(df, self._valid(request))
+        tree = self._valid(request)
+        filtered = self._run(df, tree)
         filtered = filtered.persist() if cache else filtered
         try:
             total = filtered.count()
-            items = self.apply_sorting(filtered, request).collect()
+            items = (self.apply_sorting(filtered, request) if cache else self._page(self._run(df, tree, request.sort), request)).collect()
         finally:
             if cache:
                 filtered.unpersist()

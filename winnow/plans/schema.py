@@ -81,7 +81,7 @@ def _operators(name: str, operators: Iterable[Operator]) -> dict[str, Operator]:
     out: dict[str, Operator] = {}
     for op in operators:
         if op.name.upper() in out:
-            raise FilterConfigurationError(f"Property '{name}' declares operator '{op.name}' more than once.")
+            raise FilterConfigurationError(f"'{name}': two operators are named '{op.name}'.")
         out[op.name.upper()] = op
     return out
 
@@ -91,7 +91,7 @@ class PropertyBuilder:
 
     def __init__(self, name: str, profile: Profile | Iterable[Operator], accessor: Accessor | None = None):
         if not name or not name.strip():
-            raise FilterConfigurationError("A filter property field must be a non-empty string.")
+            raise FilterConfigurationError("A property needs a name.")
         self.name, self.accessor = name, accessor or (lambda s: s[name])
         self.profile = profile.name if isinstance(profile, Profile) else name
         self.all = _operators(name, profile.operators if isinstance(profile, Profile) else profile)
@@ -101,7 +101,7 @@ class PropertyBuilder:
 
     def alias(self, name: str) -> PropertyBuilder:
         if not name or not name.strip():
-            raise FilterConfigurationError(f"The alias of '{self.name}' must be a non-empty string.")
+            raise FilterConfigurationError(f"'{self.name}': an alias needs at least one character that is no blank.")
         self.options["alias"] = name
         return self
 
@@ -126,7 +126,7 @@ class PropertyBuilder:
         for option, names in (("Only", self._only), ("Except", self._except)):
             for n in names or ():
                 if n.upper() not in self.all:
-                    raise FilterConfigurationError(f"{option} on '{self.name}' names operator '{n}', which profile '{self.profile}' does not declare.")
+                    raise FilterConfigurationError(f"'{self.name}': {option.lower()} lists '{n}', but '{self.profile}' has no such operator.")
         allowed = None if self._only is None else {n.upper() for n in self._only}
         barred = {n.upper() for n in self._except or ()}
         kept = {k: op for k, op in self.all.items() if (allowed is None or k in allowed) and k not in barred}
@@ -184,12 +184,12 @@ class SchemaBuilder:
     def nest(self, hops: Hop | Iterable[Hop], schema: Any, prefix: str | None = None, only: Iterable[str] | None = None, except_: Iterable[str] | None = None, disable_sorting: bool = False, max_depth: int = 0) -> SchemaBuilder:
         hops = (hops,) if isinstance(hops, Hop) else tuple(hops)
         if not hops:
-            raise FilterConfigurationError("A nesting key must be a non-empty string.")
+            raise FilterConfigurationError("A nested schema is reached by one hop at least.")
         if prefix is not None and not prefix.strip():
-            raise FilterConfigurationError(f"Lifting the filter for '{self.key}' through a navigation requires a non-empty prefix.")
+            raise FilterConfigurationError(f"'{self.key}': a blank prefix names nothing.")
         name = ".".join(h.name for h in hops)
         if not 0 <= max_depth <= MAX_DEPTH:
-            raise FilterConfigurationError(f"Nesting '{self.key}.{name}' has MaxDepth {max_depth}; it must be zero (unbounded) or between 1 and {MAX_DEPTH}.")
+            raise FilterConfigurationError(f"'{self.key}.{name}': max_depth is {max_depth}; 0 is no limit, and {MAX_DEPTH} the highest one.")
         self.nested.append(Nesting(hops, schema, prefix, None if only is None else tuple(only), None if except_ is None else tuple(except_), disable_sorting, max_depth))
         return self
 
@@ -203,14 +203,14 @@ class SchemaBuilder:
                 continue
             if times and not any(limit for _, limit in path[times[-1] :]) and not n.max_depth:
                 chain = " -> ".join([*(k for k, _ in path[times[-1] :]), key])
-                raise FilterConfigurationError(f"Nested filters form a cycle with no depth limit: {chain}. Set MaxDepth on at least one nesting in the cycle.")
+                raise FilterConfigurationError(f"An endless cycle: {chain}. One of these needs a max_depth.")
             inner = n.schema() if callable(n.schema) else n.schema
             props = inner._expand((*path, (key, n.max_depth)))
             direct = {k.upper() for p, own in props if own for k in p.keys}
             for option, names in (("Only", n.only), ("Except", n.except_)):
                 unknown = [x for x in names or () if x is None or "." not in x and x.upper() not in direct]
                 if unknown:
-                    raise FilterConfigurationError(f"{option} on the nesting under '{n.prefix or n.hops[-1].name}' names {', '.join(repr(x) for x in unknown)}, which the filter for '{inner.key}' does not expose.")
+                    raise FilterConfigurationError(f"'{key}': {option.lower()} lists {', '.join(map(repr, unknown))}, but '{inner.key}' has no such property of its own.")
             only = None if n.only is None else {x.upper() for x in n.only}
             barred = {x.upper() for x in n.except_ or ()}
             for p, own in props:
@@ -226,6 +226,6 @@ class SchemaBuilder:
         for p in props:
             for k in p.keys:
                 if k.upper() in by_key:
-                    raise FilterConfigurationError(f"Wire key '{k}' is claimed by both '{by_key[k.upper()].field}' and '{p.field}'.")
+                    raise FilterConfigurationError(f"'{by_key[k.upper()].field}' and '{p.field}' both answer to '{k}'.")
                 by_key[k.upper()] = p
         return FilterSchema(props, self.settings, by_key)

@@ -1,4 +1,4 @@
-"""Walks a request once: collects every error, and keeps the parsed value of every leaf for the compiler."""
+"""Walks a request once: collects every error, and keeps the parsed value of every leaf for the compiler. Paths, codes and texts of errors are fixed values of the wire format."""
 
 from __future__ import annotations
 
