@@ -110,7 +110,7 @@ def custom(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, FilterDefinitio
         prop("o_orderpriority", text).sort(), prop("o_totalprice", number).alias("price").sort(default=Dir.DESC),
         rule("year", lambda s: F.year(s["o_orderdate"]), value_op("eq", lambda c, v: c == v, parse=parsers.int32)).sort(),
         rule("label", lambda s: F.concat(s["o_orderstatus"], F.lit(" "), s["o_orderpriority"]), value_op("contains", lambda c, v: c.contains(v), parse=parsers.string)),
-        rule("words", lambda s: F.split(s["o_orderpriority"], "-"), *listed), rule("key", lambda s: s["o_orderkey"], unary_op("isEven", lambda c: c % 2 == 0)),
+        rule("words", lambda s: F.split(s["o_orderpriority"], "-"), *listed), rule("open", lambda s: F.when(s["o_orderstatus"] == "O", F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")), *listed), rule("key", lambda s: s["o_orderkey"], unary_op("isEven", lambda c: c % 2 == 0)),
         prop("priority", P.STRING, lambda s: s["o_orderpriority"]).intercept(scalar=lambda v, c: v.upper(), array=lambda v, c: sorted(set(v))),
         prop("status", P.STRING, lambda s: s["o_orderstatus"]).intercept(raw=lambda v, c: str(v)[:1]),
     )
@@ -144,7 +144,8 @@ def _comparisons(prefix: str, source: Callable, field: str, expression: str, fra
         _add(f"{prefix}_{op}", source, _where(_leaf(field, op, value)), f"select {frame} where {expression} {sign} {sql}")
     if several:
         _add(f"{prefix}_in", source, _where(_leaf(field, "in", several)), f"select {frame} where {expression} in ({several_sql})")
-    _add(f"{prefix}_is_null", source, _where(_leaf(field, "isNull")), f"select {frame} where {expression} is null")
+    if prefix == "null_int":  # the other types' nulls are below
+        _add(f"{prefix}_is_null", source, _where(_leaf(field, "isNull")), f"select {frame} where {expression} is null")
 
 
 LABELLED = "d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic from documents d left join labels l using (doc_id)"
@@ -166,31 +167,29 @@ _add("deep_tree", _LINE, _where(_deep()), "select * from lineitem where not (not
 _PART = simple("part")
 for _op, _value, _sql in (("eq", "Brand#13", "p_brand = 'Brand#13'"), ("ne", "Brand#13", "p_brand <> 'Brand#13'"), ("contains", "and#1", "contains(p_brand, 'and#1')"), ("startsWith", "Brand#2", "starts_with(p_brand, 'Brand#2')"), ("endsWith", "3", "suffix(p_brand, '3')"), ("in", ["Brand#13", "Brand#21"], "p_brand in ('Brand#13', 'Brand#21')")):
     _add("str_" + _op.replace("sW", "s_w"), _PART, _where(_leaf("p_brand", _op, _value)), f"select * from part where {_sql}")
-_add("str_is_null", _PART, _where(_leaf("p_brand", "isNull")), "select * from part where p_brand is null")
-_add("str_percent_is_literal", _PART, _where(_leaf("p_brand", "contains", "%")), "select * from part where contains(p_brand, '%')")
+_add("str_percent_is_literal", typed("part", offer=(P.STRING, lambda s: F.when(s["p_partkey"] % 3 == 0, F.concat(s["p_brand"], F.lit(" 5%"))).otherwise(s["p_brand"]))), _where(_leaf("offer", "contains", "5%")), "select * from part where p_partkey % 3 = 0")
 _comparisons("int", typed("lineitem", n=(P.INT32, lambda s: s["l_linenumber"].cast("int"))), "n", "l_linenumber", "* from lineitem", 4, "4", [1, 7], "1, 7")
 _comparisons("long", typed("orders", n=(P.INT64, lambda s: s["o_custkey"].cast("bigint"))), "n", "o_custkey", "* from orders", "370", "370", [1, "2"], "1, 2")
 _comparisons("short", typed("lineitem", n=(P.INT16, lambda s: s["l_linenumber"].cast("smallint"))), "n", "l_linenumber", "* from lineitem", 3, "3", [2, 3], "2, 3")
 _comparisons("byte", typed("lineitem", n=(P.BYTE, lambda s: s["l_linenumber"].cast("smallint"))), "n", "l_linenumber", "* from lineitem", 3, "3", [2, 255], "2, 255")
 _comparisons("double", simple("lineitem"), "l_quantity", "l_quantity", "* from lineitem", 25, "25", [1, 2.5, "3e0"], "1, 2.5, 3")
 _comparisons("float", typed("lineitem", n=(P.SINGLE, lambda s: s["l_discount"].cast("float"))), "n", "l_discount::float", "* from lineitem", 0.05, "0.05::float", [0.1, 0.05], "0.1::float, 0.05::float")
-_comparisons("decimal", typed("orders", n=(P.DECIMAL, lambda s: s["o_totalprice"].cast("decimal(18,2)"))), "n", "o_totalprice::decimal(18,2)", "* from orders", 150000.5, "150000.5", ["100000.25", 7], "100000.25, 7")
-_comparisons("ts", simple("events"), "ts", "ts", "* from events", "2024-01-15T12:00:00", "timestamp '2024-01-15 12:00:00'")
-_comparisons("tsz", typed("events", t=(P.DATE_TIME_OFFSET, lambda s: F.to_timestamp_ltz(F.date_format(s["ts"], "yyyy-MM-dd HH:mm:ss.SSSSSS'Z'"), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSSX")))), "t", "ts", "* from events", "2024-01-15T14:00:00+02:00", "timestamp '2024-01-15 12:00:00'")
+_comparisons("decimal", typed("orders", n=(P.DECIMAL, lambda s: (s["o_orderkey"] % 1000 + F.lit("0.25").cast("decimal(3,2)")).cast("decimal(18,2)"))), "n", "(o_orderkey % 1000 + 0.25)", "* from orders", 150.25, "150.25", ["100.25", 7, 8.250], "100.25, 7, 8.25")
+_HOURS = typed("events", t=(P.DATE_TIME, lambda s: F.date_trunc("hour", s["ts"]).cast("timestamp_ntz")))
+_comparisons("ts", _HOURS, "t", "date_trunc('hour', ts)", "* from events", "2024-01-15T12:00:00", "timestamp '2024-01-15 12:00:00'")
+_comparisons("tsz", typed("events", t=(P.DATE_TIME_OFFSET, lambda s: F.to_timestamp_ltz(F.date_format(s["ts"], "yyyy-MM-dd HH:00:00'Z'"), F.lit("yyyy-MM-dd HH:mm:ssX")))), "t", "date_trunc('hour', ts)", "* from events", "2024-01-15T14:00:00+02:00", "timestamp '2024-01-15 12:00:00'")
 _comparisons("date", typed("orders", d=(P.DATE_ONLY, lambda s: s["o_orderdate"].cast("date"))), "d", "o_orderdate::date", "* from orders", "1996-06-01", "date '1996-06-01'")
 _comparisons("null_int", labelled, "quality", "quality", LABELLED, 1, "1", [0, 1], "0, 1")
+_add("null_int_gt", labelled, _where(_leaf("quality", "gt", 0)), f"select {LABELLED} where quality > 0")
 _add("bool_eq", labelled, _where(_leaf("flag", "eq", True)), f"select {LABELLED} where toxic = 1")
-_add("bool_is_null", labelled, _where(_leaf("flag", "isNull")), f"select {LABELLED} where toxic is null")
 _GUID = typed("orders", id=(P.GUID, lambda s: F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(s["o_orderkey"].cast("string"), 12, "0"))))
 _add("guid_eq", _GUID, _where(_leaf("id", "eq", "00000000-0000-0000-0000-000000000007")), "select * from orders where o_orderkey = 7")
 _add("guid_ne", _GUID, _where(_leaf("id", "ne", "00000000-0000-0000-0000-000000000007")), "select * from orders where o_orderkey <> 7")
 _add("guid_in", _GUID, _where(_leaf("id", "in", [f"00000000-0000-0000-0000-{i:012}" for i in (1, 2, 3)])), "select * from orders where o_orderkey in (1, 2, 3)")
-_add("guid_is_null", _GUID, _where(_leaf("id", "isNull")), "select * from orders where o_orderkey is null")
 _ENUM = simple("orders", o_orderpriority=enum_profile("Priority", PRIORITIES))
 _add("enum_eq", _ENUM, _where(_leaf("o_orderpriority", "eq", "1-urgent")), "select * from orders where o_orderpriority = '1-URGENT'")
 _add("enum_ne", _ENUM, _where(_leaf("o_orderpriority", "ne", 4)), "select * from orders where o_orderpriority <> '5-LOW'")
 _add("enum_in", _ENUM, _where(_leaf("o_orderpriority", "in", [0, "2-High", 99])), "select * from orders where o_orderpriority in ('1-URGENT', '2-HIGH')")
-_add("enum_is_null", _ENUM, _where(_leaf("o_orderpriority", "isNull")), "select * from orders where o_orderpriority is null")
 _add("enum_sort", _ENUM, {"sort": [{"field": "o_orderpriority", "dir": "desc"}, {"field": "o_orderkey"}], "pageSize": 20}, "select * from orders order by o_orderpriority desc nulls last, o_orderkey nulls first limit 20")
 for _name, _node, _sql in (
     ("ne_keeps_null", _leaf("quality", "ne", 1), "quality is distinct from 1"),
@@ -222,6 +221,7 @@ _add("no_where", _CUSTOMERS, {}, "select * from customer")
 _add("nav_one_hop", navigation, _where(_leaf("customer.c_mktsegment", "eq", "BUILDING")), "select o.* from orders o left join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING'")
 _add("nav_two_hop", navigation, _where({"and": [_leaf("customer.nation.region.r_name", "eq", "ASIA"), _leaf("customer.c_acctbal", "gt", 0)]}), "select o.* from orders o left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey where r_name = 'ASIA' and c_acctbal > 0")
 _add("nav_sort", navigation, {"sort": [{"field": "customer.c_name", "dir": "desc"}, {"field": "o_orderkey"}], "page": 2, "pageSize": 15}, "select o.* from orders o left join customer on o_custkey = c_custkey order by c_name desc nulls last, o_orderkey limit 15 offset 15")
+_add("nav_filter_sort", navigation, _where(_leaf("customer.c_mktsegment", "eq", "BUILDING"), sort=[{"field": "customer.c_acctbal", "dir": "desc"}, {"field": "o_orderkey"}], pageSize=40), "select o.* from orders o left join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING' order by c_acctbal desc nulls last, o_orderkey limit 40")
 _DOCS = "d.doc_id, d.lang, d.n_chars from documents d left join labels l using (doc_id)"
 _add("nav_optional", optional, _where(_leaf("label.quality", "eq", 1)), f"select {_DOCS} where quality = 1")
 _add("nav_optional_ne", optional, _where(_leaf("label.quality", "ne", 1)), f"select {_DOCS} where quality is distinct from 1")
@@ -239,7 +239,7 @@ for _name, _node, _sql in (
     ("op_ilike", _leaf("o_orderpriority", "ilike", "%hi_h"), "o_orderpriority ilike '%hi_h'"),
     ("op_is_even", _leaf("key", "isEven"), "o_orderkey % 2 = 0"),
     ("op_not_even", {"not": [_leaf("key", "isEven")]}, "o_orderkey % 2 <> 0"),
-    ("op_is_empty", _leaf("words", "isEmpty"), "false"),
+    ("op_is_empty", _leaf("open", "isEmpty"), "o_orderstatus <> 'O'"),
     ("op_contains_any", _leaf("words", "containsAny", ["URGENT", "LOW"]), "o_orderpriority in ('1-URGENT', '5-LOW')"),
     ("op_contains_all", _leaf("words", "containsAll", ["1", "URGENT"]), "o_orderpriority = '1-URGENT'"),
     ("intercept_scalar", _leaf("priority", "eq", "5-low"), "o_orderpriority = '5-LOW'"),
@@ -251,13 +251,59 @@ for _name, _node, _sql in (
 
 def time_query(op: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.timeType.enabled", "true")
-    source = typed("events", t=(P.TIME_ONLY, lambda s: F.date_format(s["ts"], "HH:mm:ss.SSSSSS").cast("time(6)")))
-    return run(source, _where(_leaf("t", op, *["12:30:00"] * (op != "isNull"))), spark, sf_dir)
+    source = typed("events", t=(P.TIME_ONLY, lambda s: F.date_format(s["ts"], "HH:mm:00").cast("time(6)")))
+    return run(source, _where(_leaf("t", op, "12:30:00")), spark, sf_dir)
 
 
 for _op, _sign in (("eq", "="), ("ne", "<>"), ("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<=")):
-    _ALL[f"time_{_op}"] = (partial(time_query, _op), f"select * from events where ts::time {_sign} time '12:30:00'")
-_ALL["time_is_null"] = (partial(time_query, "isNull"), "select * from events where ts::time is null")
+    _ALL[f"time_{_op}"] = (partial(time_query, _op), f"select * from events where date_trunc('minute', ts)::time {_sign} time '12:30:00'")
+
+
+def _day(x: Column) -> Column:
+    return F.date_add(F.lit("2024-01-01").cast("date"), x.cast("int"))
+
+
+#: Each type's values, null for documents without a label, rising with x = doc_id % 20: (profile, value of x, what x = 10 is on the wire).
+NULLABLE: dict[str, tuple[P.Profile, Callable[[Column], Column], Any]] = {
+    "str": (P.STRING, lambda x: F.concat(F.lit("v"), x.cast("string"), F.lit(".")), "v10."),
+    "int": (P.INT32, lambda x: x.cast("int"), 10),
+    "long": (P.INT64, lambda x: x.cast("bigint"), "10"),
+    "short": (P.INT16, lambda x: x.cast("smallint"), 10),
+    "byte": (P.BYTE, lambda x: x.cast("smallint"), 10),
+    "decimal": (P.DECIMAL, lambda x: x.cast("decimal(18,2)") / 4, "2.5"),
+    "double": (P.DOUBLE, lambda x: x / F.lit(4.0), 2.5),
+    "float": (P.SINGLE, lambda x: (x / F.lit(4.0)).cast("float"), 2.5),
+    "bool": (P.BOOL, lambda x: x == 10, True),
+    "guid": (P.GUID, lambda x: F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(x.cast("string"), 12, "0")), "00000000-0000-0000-0000-000000000010"),
+    "ts": (P.DATE_TIME, lambda x: _day(x).cast("timestamp_ntz"), "2024-01-11T00:00:00"),
+    "tsz": (P.DATE_TIME_OFFSET, lambda x: F.timestamp_seconds(F.lit(1704067200) + x * 86400), "2024-01-11T02:00:00+02:00"),
+    "date": (P.DATE_ONLY, _day, "2024-01-11"),
+    "time": (P.TIME_ONLY, lambda x: F.concat(F.lpad(x.cast("string"), 2, "0"), F.lit(":30:00")).cast("time(6)"), "10:30"),
+    "enum": (enum_profile("Step", [f"S{i}" for i in range(20)]), lambda x: F.concat(F.lit("S"), x.cast("string")), "s10"),
+}
+
+
+def null_query(name: str, node: dict[str, Any], spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.timeType.enabled", "true")
+    profile, value, _ = NULLABLE[name]
+    df, _ = labelled(spark, sf_dir)
+    schema = SchemaBuilder("nullable").add(prop("x", profile, lambda s: value(F.when(s["quality"].isNotNull(), s["doc_id"] % 20))))
+    return run(lambda *_: (df, FilterDefinition(schema)), _where(node), spark, sf_dir)
+
+
+_X = "case when quality is not null then d.doc_id % 20 end"
+for _name, (_profile, _, _ten) in NULLABLE.items():
+    _nodes = {"is_null": (_leaf("x", "isNull"), f"{_X} is null"), "not_null": ({"not": [_leaf("x", "isNull")]}, f"{_X} is not null"), "null_eq": (_leaf("x", "eq", _ten), f"{_X} = 10"), "null_not_eq": ({"not": [_leaf("x", "eq", _ten)]}, f"{_X} is distinct from 10")}
+    if "ne" in _profile.names:
+        _nodes |= {"null_ne": (_leaf("x", "ne", _ten), f"{_X} is distinct from 10"), "null_not_ne": ({"not": [_leaf("x", "ne", _ten)]}, f"{_X} = 10")}
+    if "in" in _profile.names:
+        _nodes |= {"null_not_in": ({"not": [_leaf("x", "in", [_ten])]}, f"{_X} is distinct from 10")}
+    if "gt" in _profile.names:
+        _nodes |= {"null_gt": (_leaf("x", "gt", _ten), f"{_X} > 10")} | {f"null_not_{op}": ({"not": [_leaf("x", op, _ten)]}, f"not coalesce({_X} {sign} 10, false)") for op, sign in (("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<="))}
+    if "contains" in _profile.names:
+        _nodes |= {f"null_not_{op.lower()}": ({"not": [_leaf("x", op, text)]}, f"{_X} is distinct from 10") for op, text in (("contains", "v10"), ("startsWith", "v10"), ("endsWith", "10."))}
+    for _op, (_node, _sql) in _nodes.items():
+        _ALL[f"{_name}_{_op}"] = (partial(null_query, _name, _node), f"select {LABELLED} where {_sql}")
 
 _ENVELOPE = {"where": _leaf("c_acctbal", "gt", 0), "sort": [{"field": "c_custkey"}], "page": 2, "pageSize": 40}
 
