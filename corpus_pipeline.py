@@ -24,8 +24,8 @@ def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Cal
 @_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lets go of documents without a language: null texts and texts without letters."""
-    found = langid.identify(docs, queries.language_profiles(docs))
-    return found.filter("lang_pred <> 'und'").select(*docs.columns)
+    found = langid.identify(docs, queries.language_profiles(docs), names=("__winnow_lang", "__winnow_score"))
+    return found.filter("__winnow_lang <> 'und'").select(*docs.columns)
 
 
 @_stage
@@ -36,7 +36,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one with the smallest id stays."""
+    """Of each group of linked documents one row stays, which has the smallest id."""
     return jaccard_join.drop_near_copies(docs)
 
 
