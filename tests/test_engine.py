@@ -1,4 +1,6 @@
-"""Row sets of requests against a two-valued interpreter in Python, validation, wire formats and plans."""
+"""Row sets of requests against a two-valued interpreter in Python, validation, wire formats and plans.
+
+Codes, paths and texts of errors here are fixed values of the wire format."""
 
 import io
 import json

@@ -1,4 +1,6 @@
-"""Queries over the test tables, each a JSON request that goes through the engine, and the SQL that says the same."""
+"""Queries over the test tables, each a JSON request that goes through the engine, and the SQL that says the same.
+
+Paths and codes of errors in them are fixed values of the wire format."""
 
 from __future__ import annotations
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import parsers
-from .model import Dir
+from .model import Dir, FilterRequest, FilterValidationError, Group, Leaf, Settings, SortItem
 from .operators import profiles as P
 from .operators.profiles import enum_profile, infer
 from .operators.templates import unary_op, value_op
@@ -346,6 +348,91 @@ def query_string_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return definition.apply(df, wire.from_query_string("?" + wire.to_query_string(_BUILT)))
 
 
+def _errors(spark: SparkSession, definition: FilterDefinition, request: FilterRequest) -> DataFrame:
+    found = definition.validate(request).errors
+    return spark.createDataFrame([(e.path, e.code.name, e.field, e.operator) for e in found], "path string, code string, field string, operator string")
+
+
+def _refuse(value: Any, context: Any) -> Any:
+    if value == "refused":
+        raise FilterValidationError("refused")
+    return value
+
+
+def limits_and_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors that a request read from JSON can't all have."""
+    schema = SchemaBuilder("customer", Settings(max_nesting_depth=3, max_leaf_conditions=4)).add(prop("c_name", P.STRING).intercept(scalar=_refuse).sort(), prop("c_acctbal", P.DOUBLE).sort())
+    leaf = Leaf("c_acctbal", "gt", 1)
+    deep = Group("not", (Group("and", (Group("or", (leaf,)),)),))
+    where = Group("and", (deep, Group("xor", (leaf,)), Group("not", (leaf, leaf)), Group("or"), Leaf("c_name", "eq", "refused"), Leaf("c_name", "in", ["a", "refused"]), leaf, leaf, Leaf(None, "eq", 1)))
+    return _errors(spark, FilterDefinition(schema), FilterRequest(where, (None, SortItem("c_name", 2)), 3, 0))
+
+
+_ALL["limits_and_shapes"] = (limits_and_shapes, """select * from (values ('where.and[0].not[0].and[0]', 'NestingTooDeep', null, null), ('where.and[1]', 'InvalidNodeShape', null, null), ('where.and[2]', 'InvalidNodeShape', null, null),
+ ('where.and[3]', 'GroupEmpty', null, null), ('where.and[4].value', 'InterceptorRejected', 'c_name', 'eq'), ('where.and[5].value', 'InterceptorRejected', 'c_name', 'in'), ('where.and[8]', 'UnknownField', null, 'eq'),
+ ('where', 'TooManyConditions', null, null), ('sort[0].field', 'NotSortable', null, null), ('sort[1].dir', 'InvalidSortDirection', 'c_name', null), ('pageSize', 'PageSizeInvalid', null, null)) t(path, code, field, operator)""")
+
+
+def page_too_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, definition = _CUSTOMERS(spark, sf_dir)
+    return _errors(spark, definition, FilterRequest(page=2**31 - 1, page_size=200))
+
+
+_ALL["page_too_far"] = (page_too_far, "select 'page' as path, 'PageInvalid' as code, null::varchar as field, null::varchar as operator")
+
+
+def nested_without_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, definition = navigation(spark, sf_dir, disable_sorting=True)
+    return _errors(spark, definition, FilterRequest(Leaf("customer.c_name", "isNull"), (SortItem("customer.c_name"), SortItem("customer.nation.n_name"), SortItem("o_orderkey"))))
+
+
+_ALL["nested_without_sorting"] = (nested_without_sorting, "select * from (values ('sort[0].field', 'NotSortable', 'customer.c_name', null), ('sort[1].field', 'NotSortable', 'customer.nation.n_name', null)) t(path, code, field, operator)")
+
+
+def clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorting alone does not validate: a page below 1 and a size above the limit are brought inside."""
+    df, definition = _CUSTOMERS(spark, sf_dir)
+    return definition.apply_sorting(df, FilterRequest(None, (SortItem("c_custkey"),), -4, 100_000))
+
+
+_ALL["clamped"] = (clamped, "select * from customer order by c_custkey limit 200")
+
+
+def lifted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, FilterDefinition]:
+    """Rules, interceptors and operators of its own go with a schema wherever it is nested."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    customer = SchemaBuilder("customer").add(
+        prop("c_mktsegment", P.STRING).alias("segment").intercept(scalar=lambda v, c: v.upper(), array=lambda v, c: sorted(v)),
+        rule("rich", lambda s: s["c_acctbal"], unary_op("isRich", lambda c: c > 5000), value_op("near", lambda c, v: F.abs(c - v[0]) <= v[1], type=list[float])).sort(),
+        prop("c_acctbal", P.DOUBLE.extend("Near", value_op("near", lambda c, v: F.abs(c - v[0]) <= v[1], type=list[float]))).intercept(scalar=lambda v, c: v * 2),
+    )
+    return orders, FilterDefinition(SchemaBuilder("orders").add(prop("o_orderkey", P.INT64).sort()).nest(CUSTOMER, customer, prefix="buyer"), {"customer": customers}, verify_keys=True)
+
+
+for _name, _node, _sql in (
+    ("lifted_interceptor", _leaf("buyer.segment", "eq", "building"), "c_mktsegment = 'BUILDING'"),
+    ("lifted_array_interceptor", {"not": [_leaf("buyer.segment", "in", ["machinery", "Building"])]}, "c_mktsegment not in ('BUILDING', 'MACHINERY')"),
+    ("lifted_rule", _leaf("customer.rich", "isRich"), "c_acctbal > 5000"),
+    ("lifted_rule_negated", {"not": [_leaf("buyer.rich", "near", [1000, 500.5])]}, "not (abs(c_acctbal - 1000) <= 500.5)"),
+    ("intercept_leaves_typed_values", _leaf("buyer.c_acctbal", "near", [1000, 500]), "abs(c_acctbal - 1000) <= 500"),
+    ("intercept_scalar_number", _leaf("buyer.c_acctbal", "gt", 2000), "c_acctbal > 4000"),
+):
+    _add(_name, lifted, _where(_node), f"{_NESTED} where {_sql}")
+
+
+def struct_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dotted path reads a member of a struct, without a join."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_acctbal").alias("balance")).alias("account"))).alias("person"))
+    schema = SchemaBuilder("customer").add(prop("c_custkey", P.INT64).sort(), prop("person.name", P.STRING), prop("person.account.balance", P.DOUBLE).sort())
+    request = {"where": {"not": [{"and": [_leaf("person.account.balance", "gt", 1000), _leaf("person.name", "endsWith", "1")]}]}, "sort": [{"field": "person.account.balance"}, {"field": "c_custkey"}], "pageSize": 150}
+    return run(lambda *_: (df, FilterDefinition(schema)), request, spark, sf_dir).select("c_custkey")
+
+
+_ALL["struct_path"] = (struct_path, """select c_custkey from (select c_custkey, case when c_custkey % 3 > 0 then c_name end as name, case when c_custkey % 3 > 0 then c_acctbal end as balance from customer)
+ where not (coalesce(balance > 1000, false) and coalesce(suffix(name, '1'), false)) order by balance nulls first, c_custkey limit 150""")
+_add("export_filtered_sorted", _CUSTOMERS, _where({"or": [_leaf("c_acctbal", "lt", -500), _leaf("c_mktsegment", "startsWith", "A")]}, sort=[{"field": "c_name"}]), "select * from customer where c_acctbal < -500 or c_mktsegment like 'A%' order by c_name")
+
+
 def schema_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, definition = simple("region")(spark, sf_dir)
     return definition.schema.describe(spark).select("field", F.size("operators").alias("n_operators"), "sortable").filter(F.col("field") == "r_name")
