@@ -2,7 +2,7 @@
 
 Documents are tokenized where they lie; all that the packing needs from the corpus is how many pieces there are of each
 length, at most ``capacity`` numbers. The plan is made from those: a full piece is a sequence; other lengths above
-``small`` are sorted and cut into few groups of equal cardinality, each rounded up to its largest length; how often each
+``small`` (a quarter of ``capacity``) are sorted and cut into few groups of equal cardinality, each rounded up to its largest length; how often each
 configuration of the group sizes is used is a linear program, solved exactly by column generation (the next configuration
 is always the knapsack that the current prices value most), and rounded down; actual lengths take the places of the
 rounded ones; what rounding left over, and last the small pieces, go by best fit into what is left. The plan says, for
@@ -33,7 +33,7 @@ from .wordhash import slices
 
 #: Sizes that the linear program knows; steps it takes at most, as it can stop at any step with a plan that is whole; and the
 #: part by which its result may be over the least possible.
-GROUPS, STEPS, SLACK = 128, 4000, 1e-3
+GROUPS, STEPS, SLACK = 192, 4000, 1e-3
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -167,9 +167,10 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, steps: in
     return [(columns[back, j], float(used[j])) for j in range(len(size)) if used[j] > 0]
 
 
-def plan(counts: dict[int, int], capacity: int, small: int = 160, n_groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
+def plan(counts: dict[int, int], capacity: int, small: int | None = None, n_groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, pieces, first sequence, offset): that many pieces from that rank on go to as many successive
     sequences. Its size depends on ``capacity`` and ``n_groups``, not on the number of pieces."""
+    small = capacity // 4 if small is None else small
     counts = {k: v for k, v in counts.items() if v}
     left, used = Counter(counts), dict.fromkeys(counts, 0)
     out: list[tuple[int, int, int, int, int]] = []
