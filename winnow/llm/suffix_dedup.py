@@ -9,8 +9,8 @@ it is ``LENGTH`` words long.
 
 The neighbour with the longest match on the right need not have the longest one on the left. So a suffix whose windows its
 neighbours leave open has each of them looked up among the windows of all suffixes with its 8-gram, equal ones taken once.
-8-grams that very many suffixes have are sorted in several groups by the words that follow; what that parts, the lookup
-finds as well.
+The suffixes of a very frequent 8-gram are dealt to several groups, each of which is sorted by itself; what that parts, the
+lookup finds as well.
 
 Documents with the same words are one text in all this. Defined results: null and empty texts, and texts of fewer than
 ``LENGTH`` words, have no repeated passage; repeated rows repeat each other; an empty table gives no rows; other columns
@@ -28,8 +28,8 @@ from .storage import discard, join_groups, materialize
 from .wordhash import lists, long, mix, shingles, slices, stream, words
 
 LENGTH, GRAM = 50, 8
-#: Suffixes of one 8-gram that are sorted in one group; the words after the 8-gram that deal out more.
-GROUP, DEALT = 4096, 8
+#: Suffixes of one 8-gram that are sorted in one group, about.
+GROUP = 4096
 _U = np.uint64
 #: Part of a key that tells its place, and windows whose places are chosen at once.
 _PLACE = _U((1 << 20) - 1)
@@ -229,7 +229,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     of_text = kept.groupBy("row").agg(F.collect_list(F.struct("gram", "at", "lo", "hi", "groups")).alias("suffixes"))  # of one text
     carried = text.join(of_text.hint("merge"), "row").select("row", "text", F.col("suffixes").cast("array<struct<gram:bigint,at:bigint,lo:bigint,hi:bigint,groups:bigint>>").alias("suffixes"))
     carried = carried.mapInArrow(_contexts(length), "gram long, after binary, before binary, row long, at long, lo long, hi long, groups long")
-    group = F.pmod(F.xxhash64(F.substring("after", 1, 8 * DEALT)), F.col("groups"))
+    group = F.pmod(F.xxhash64("row", "at"), F.col("groups"))
     ordered = carried.repartition(F.col("gram"), group).drop("groups").sortWithinPartitions("gram", "after", "before")
     judged = ordered.mapInArrow(_neighbours(length), "gram long, row long, lo long, hi long, f1 long, e1 long, f2 long, e2 long, full boolean, lead boolean")
     judged = materialize(judged, "neighbours")
