@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Written, so that both sides of the join are dealt anew and a node with very many neighbours can be split.
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # A node whose own smallest neighbour is smaller keeps its link to it.
         own = least.filter("m < a").select("a", F.col("m").alias("b"))
