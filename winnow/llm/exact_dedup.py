@@ -43,11 +43,10 @@ class DigestIndex:
         rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("id"), digest.alias("digest"))
         rows = materialize(rows, "digests")  # numbered once
         groups = rows.groupBy("digest").agg(F.max(F.struct("id", "row_id")).alias("top"), F.count("*").alias("group_size"))
-        others = self.spark.table(self.name).filter(F.col("batch") != batch).select("digest", F.col("keep_id").alias("old"), F.lit(True).alias("known"))
-        judged = groups.join(others.hint("merge"), "digest", "left")
-        new = F.col("known").isNull()
-        keep = F.when(new, F.col("top.id")).otherwise(F.col("old")).alias("keep_id")
-        judged = materialize(judged.select("digest", "group_size", keep, F.when(new, F.col("top.row_id")).alias("keep_row"), new.alias("new")), "judged")
+        others = self.spark.table(self.name).filter(F.col("batch") != batch).select("digest", "keep_id").hint("merge")
+        new = groups.join(others, "digest", "left_anti").select("digest", "group_size", F.col("top.id").alias("keep_id"), F.col("top.row_id").alias("keep_row"), F.lit(True).alias("new"))
+        old = groups.join(others, "digest").select("digest", "group_size", "keep_id", F.lit(None).cast("long").alias("keep_row"), F.lit(False).alias("new"))
+        judged = materialize(new.unionByName(old), "judged")
         fresh = judged.filter("new").select("digest", "keep_id", F.lit(batch).alias("batch"))
         if named:
             fresh = fresh.join(self.spark.table(self.name).filter(F.col("batch") == batch).hint("merge"), "digest", "left_anti")
