@@ -131,6 +131,37 @@ def test_jaccard_of_chains_without_a_centre(spark, tmp_path, monkeypatch):
         assert got == dict(enumerate(least)) and 3 <= len(set(least)) < 60
 
 
+def test_crowded_signatures_lose_no_link(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CROWD", 4)
+    rng, texts = random.Random(7), []
+    quoted = [f"q{i}" for i in range(70)]
+    for k in range(60):  # a passage that all quote, among words of their own and with a near copy now and then
+        w = [f"v{rng.randrange(10**6)}" for _ in range(rng.choice([20, 40, 60]))]
+        w[rng.randrange(len(w)) : 0] = quoted[: rng.choice([30, 50, 70])]
+        texts.append(" ".join(w))
+        if k % 3 == 0:
+            for _ in range(rng.randrange(1, 5)):
+                w = list(w)
+                w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
+                texts.append(" ".join(w))
+    rng.shuffle(texts)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "quoted"))
+    sets, least = [sets_of(t) for t in texts], list(range(len(texts)))
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    docs = spark.read.parquet(str(tmp_path / "quoted"))
+    dealt = []
+    uncrowded = jaccard_join._uncrowded
+    monkeypatch.setattr(jaccard_join, "_uncrowded", lambda *x: dealt.append(uncrowded(*x)) or dealt[-1])
+    for leaders in (True, False):  # without links to leaders, buckets have to give all
+        if not leaders:
+            monkeypatch.setattr(jaccard_join, "_apart", lambda *_: lambda *_: F.lit(False))
+        assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == dict(enumerate(least))
+    assert all(x[1] for x in dealt) and len(dealt) == 2 and 20 < len(set(least)) < len(texts) - 20
+
+
 def test_repeated_passages(docs, empty):
     rows = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in corpus()]
     counts = {}

@@ -9,6 +9,9 @@ signature, and linked sets share one.
 
 Linked sets even share more than one: all but as many as their differences spoil. So, of its signatures, a set needs only a
 prefix in an order that holds for all sets; the first ones are those with most elements, which the fewest other sets share.
+A signature that very many sets have in their prefixes, as from a passage that they all quote, is put last in the order
+after the fact: the sets that have it take the next ones in its place. Two sets that share no other signature than such ones
+both have them, so only these sets need be dealt again.
 
 The join needs no list of all pairs: equal sets are one class; rows of a signature form a bucket; each class is first
 held against the bucket leader it shares most signatures with, which joins most groups. Classes that still are in different
@@ -37,6 +40,8 @@ from .wordhash import lists, long, mix, shingle_sets, slices, words
 _U = np.uint64
 #: Rows of a bucket that are compared in one task; larger buckets are compared block against block.
 BLOCK = 1024
+#: Rows of a bucket from which on its signature is put last in the order, and how many times that is done.
+CROWD, ROUNDS = 256, 3
 #: Pairs of one set that are verified in one task.
 STAR = 512
 #: Sets with more than STAR pairs, up to which a table of them is broadcast.
@@ -86,9 +91,10 @@ class Scheme:
         """64-bit words of a parity sketch: a bit an element, and no less than what the other columns of a row take."""
         return max(8, -(-self.top[tag] // 64))
 
-    def signatures(self, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def signatures(self, flat: np.ndarray, first: np.ndarray, whole: bool = False) -> tuple[np.ndarray, ...]:
         """Of sorted sets of hashes, one after the other: signatures and the number of the set that each is of. A signature's lowest
-        bits tell its band. Signatures are ordered by their numbers of elements, most first, then by hash."""
+        bits tell its band. Signatures are ordered by their numbers of elements, most first, then by hash. ``whole``: not the
+        prefix but all signatures, and how many the prefix has."""
         n = np.diff(first)
         sums = np.zeros(len(flat) + 1, np.uint64)
         np.cumsum(mix(flat), out=sums[1:])
@@ -98,7 +104,7 @@ class Scheme:
             for tag, differ in shapes.get(size, ()):
                 if differ:  # else only equal sets can be linked, and those are one set here
                     joins.setdefault(tag, []).append((i, self.prefix(tag, differ)))
-        sigs, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        sigs, owners, lengths = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for tag, sets in joins.items():
             n1 = self.parts(tag)
             m = 3 * n1
@@ -121,10 +127,12 @@ class Scheme:
                 count = np.minimum(filled + np.roll(filled, -1, axis=2), 255).astype(np.uint64)
                 sig = (mix(value.reshape(len(i), m) + where) >> _U(8)) | ((_U(255) - count.reshape(len(i), m)) << _U(56))
                 sig.sort(axis=1)
-                taken = np.arange(m) < wanted[:, None]
+                taken = np.arange(m) < (m if whole else wanted[:, None])
+                taken = np.broadcast_to(taken, sig.shape)
                 sigs.append((sig[taken] & ~_U(_TAGS - 1)) | _U(tag))
-                owners.append(np.repeat(i, np.minimum(wanted, m)))
-        return np.concatenate(sigs), np.concatenate(owners)
+                owners.append(np.repeat(i, taken.sum(axis=1)))
+                lengths.append(np.repeat(wanted, taken.sum(axis=1)))
+        return (np.concatenate(sigs), np.concatenate(owners), *([np.concatenate(lengths)] * whole))
 
     def sketch(self, s: np.ndarray, tag: int) -> np.ndarray:
         """One bit for each part of the domain: whether the set has an odd number of elements there."""
@@ -161,6 +169,17 @@ def _sign(k: int, scheme: Scheme):
     return run
 
 
+def _every(k: int, scheme: Scheme):
+    """All signatures of each row, and how many its prefix has."""
+
+    def run(batches):
+        for b in slices(batches, 64):
+            sigs, owners, wanted = scheme.signatures(*shingle_sets(words(b.column(1), "space"), k), whole=True)
+            yield _batch("sig row wanted", [long(sigs), b.column(0).to_numpy()[owners], wanted])
+
+    return run
+
+
 def _lead(batches):
     """Over rows sorted by sig (by that alone, so that Spark sorts by radix): each row of a bucket but its leader, with its
     leader, which is the smallest row among the bucket's rows in the batch where it begins."""
@@ -227,10 +246,10 @@ def _sketches(k: int, scheme: Scheme, carried: int):
     return run
 
 
-def _near(num: int, den: int, nearest: bool, carried: int):
+def _near(num: int, den: int, nearest: bool, carried: int, once: bool = True):
     """Over rows sorted by (sig, x, y): pairs of a group in different components that sketches and sizes do not tell apart;
-    if ``nearest``, for each row only the one with the most equal sketch; else pairs that share a carried signature
-    smaller than the bucket's are left to the bucket of the smallest one."""
+    if ``nearest``, for each row only the one with the most equal sketch; else, if ``once``, pairs that share a carried
+    signature smaller than the bucket's are left to the bucket of the smallest one."""
 
     def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
         sig, x, y, block, row, comp, n = (rows.column(i).to_numpy() for i in range(7))
@@ -262,7 +281,7 @@ def _near(num: int, den: int, nearest: bool, carried: int):
                         continue
                     p, q, last = p[ok], q[ok], np.arange(width - carried, width)
                     a, b = (data[at[x][:, None] + last].view(np.int64) for x in (p, q))
-                    first = ~((a[:, :, None] == b[:, None, :]).any(axis=2) & (a < sig[p][:, None])).any(axis=1)
+                    first = ~((a[:, :, None] == b[:, None, :]).any(axis=2) & (a < sig[p][:, None])).any(axis=1) if once else slice(None)
                     p, q = p[first], q[first]
                     us.append(np.minimum(row[p], row[q]))
                     vs.append(np.maximum(row[p], row[q]))
@@ -341,6 +360,36 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     return joined.unionByName(alone)
 
 
+def _uncrowded(text: DataFrame, rows: DataFrame, comp: DataFrame, k: int, scheme: Scheme) -> tuple[DataFrame, bool]:
+    """Open buckets (sig, row, comp) with crowded signatures put last in the order, and whether there were any."""
+    every = crowded = None
+    for _ in range(ROUNDS):
+        sizes = rows.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("sig")
+        new = materialize(sizes if crowded is None else sizes.join(crowded.hint("merge"), "sig", "left_anti"), "crowded")
+        if new.isEmpty():
+            break
+        again = rows.join(new.hint("merge"), "sig", "left_semi").select("row").distinct()
+        if every is None:
+            every = materialize(text.join(again.hint("merge"), "row", "left_semi").mapInArrow(_every(k, scheme), "sig long, row long, wanted long"), "every")
+            crowded = new
+        else:
+            again = materialize(again, "again")
+            crowded = crowded.union(new)
+        last = every.join(again.hint("merge"), "row", "left_semi").join(crowded.withColumn("last", F.lit(True)).hint("merge"), "sig", "left")
+        # Signatures are ordered as unsigned numbers; a row's, of one band.
+        order = F.struct(F.coalesce("last", F.lit(False)).alias("last"), F.col("sig").bitwiseXOR(F.lit(-(1 << 63))).alias("key"), F.col("sig"))
+        prefix = last.groupBy("row", F.col("sig").bitwiseAND(_TAGS - 1).alias("tag")).agg(F.max("wanted").cast("int").alias("wanted"), F.sort_array(F.collect_list(order)).alias("order"))
+        dealt = prefix.select("row", F.explode(F.slice("order", F.lit(1), F.col("wanted"))).alias("x")).select(F.col("x.sig").alias("sig"), "row")
+        known = comp.select(F.col("node").alias("row"), F.col("component"))
+        dealt = dealt.join(known.hint("merge"), "row", "left").select("sig", "row", F.coalesce("component", "row").alias("comp"))
+        both = materialize(rows.join(new.hint("merge"), "sig", "left_anti").select("sig", "row", "comp").union(dealt).distinct(), "dealt")
+        apart = both.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
+        former, rows = rows, materialize(both.join(apart.hint("merge"), "sig", "left_semi"), "open")
+        discard(former)
+        discard(both)
+    return rows, every is not None
+
+
 def _linked(text: DataFrame, k: int, scheme: Scheme, passes: tuple, carried: int) -> DataFrame:
     """(node, component) of all rows of ``text`` that are linked with another; component is the smallest row."""
     spark, num, den = text.sparkSession, scheme.num, scheme.den
@@ -385,6 +434,7 @@ def _linked(text: DataFrame, k: int, scheme: Scheme, passes: tuple, carried: int
     discard(open_rows)
     discard(bucket)
     free_shuffles(spark)
+    rows, dealt_again = _uncrowded(text, rows, comp, k, scheme)
     rows = rows.withColumn("tag", F.col("sig").bitwiseAND(_TAGS - 1))
     for i, (share, nearest) in enumerate(passes if not rows.isEmpty() else ()):
         chosen = rows.filter(F.pmod(F.xxhash64("sig"), F.lit(share)) == 0)
@@ -393,7 +443,7 @@ def _linked(text: DataFrame, k: int, scheme: Scheme, passes: tuple, carried: int
         dealt = dealt.withColumn("other", F.col("block") if nearest else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.join(sketches.hint("merge"), ["row", "tag"]).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "row", "comp", "n", "sketch")
         dealt = dealt.repartition(F.col("sig"), F.col("x"), F.col("y")).sortWithinPartitions("sig", "x", "y")
-        more = verified(dealt.mapInArrow(_near(num, den, nearest, carried), "u long, v long").distinct())
+        more = verified(dealt.mapInArrow(_near(num, den, nearest, carried, not dealt_again), "u long, v long").distinct())
         merged = materialize(components(labelled(labelled(more, "u", "a"), "v", "b").select("a", "b")), "merged")
         free_shuffles(spark)
         if merged.isEmpty():
