@@ -368,13 +368,10 @@ def _uncrowded(text: DataFrame, rows: DataFrame, comp: DataFrame, k: int, scheme
         new = materialize(sizes if crowded is None else sizes.join(crowded.hint("merge"), "sig", "left_anti"), "crowded")
         if new.isEmpty():
             break
-        again = rows.join(new.hint("merge"), "sig", "left_semi").select("row").distinct()
-        if every is None:
-            every = materialize(text.join(again.hint("merge"), "row", "left_semi").mapInArrow(_every(k, scheme), "sig long, row long, wanted long"), "every")
-            crowded = new
-        else:
-            again = materialize(again, "again")
-            crowded = crowded.union(new)
+        again = materialize(rows.join(new.hint("merge"), "sig", "left_semi").select("row").distinct(), "again")
+        fresh = again if every is None else again.join(every.select("row").distinct().hint("merge"), "row", "left_anti")
+        fresh = materialize(text.join(fresh.hint("merge"), "row", "left_semi").mapInArrow(_every(k, scheme), "sig long, row long, wanted long"), "every")
+        every, crowded = (fresh, new) if every is None else (every.union(fresh), crowded.union(new))
         last = every.join(again.hint("merge"), "row", "left_semi").join(crowded.withColumn("last", F.lit(True)).hint("merge"), "sig", "left")
         # Signatures are ordered as unsigned numbers; a row's, of one band.
         order = F.struct(F.coalesce("last", F.lit(False)).alias("last"), F.col("sig").bitwiseXOR(F.lit(-(1 << 63))).alias("key"), F.col("sig"))
