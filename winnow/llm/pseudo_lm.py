@@ -7,8 +7,8 @@ evenly among all hashes a word that never occurs may have. So every word has a p
 frequent words are looked up in a broadcast table and the others, each of which is rare, by a join with the counts of all
 words, so nothing is left out at any size. The network sees the two words on either side of a place, through an embedding for each of the four
 positions, and predicts the word there: first its class, then the word in its class, so a prediction costs two small
-softmaxes. Training masks every place of every document once, ``STEP`` places in a step; each task trains from the same start
-on its documents, and the networks are averaged by their number of places, level by level, about ``FAN_IN`` in a task, so neither a
+softmaxes. Training masks one place in ``MASK`` of every document, ``STEP`` of them in a step; all other words stand around
+those. Each task trains from the same start on its documents, and the networks are averaged by their number of places, level by level, about ``FAN_IN`` in a task, so neither a
 task nor the driver gathers what grows with the corpus. So the network depends on how documents are dealt to tasks, as
 any average of parts does; counts don't. A document's score is the sum of the log-probabilities of all its words, each given
 its neighbours on both sides.
@@ -32,8 +32,8 @@ from .wordhash import long, mix, slices, stream, words
 
 #: Word classes, and words of each; DIM: width of embeddings.
 CLASSES, DIM, WINDOW, CHUNK = 64, 24, 2, 1 << 14
-#: Places that training learns from in one step.
-STEP = 4096
+#: One place in MASK is masked in training; places that it learns from in one step.
+MASK, STEP = 4, 4096
 VOCABULARY = CLASSES * CLASSES
 #: Numbers of frequent words; the other numbers are shared by hash.
 FREQUENT = VOCABULARY - 1024
@@ -237,9 +237,10 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Numbers, Network, Data
         for b in slices(batches):
             w = words(b.column(0), "space")
             num = shared.value.of(w.hash)
-            for some in np.array_split(np.arange(len(num)), -(-len(num) // STEP)) if len(num) else ():
+            at = np.flatnonzero(mix(w.hash ^ mix(np.arange(len(num), dtype=np.uint64))) % _U(MASK) == 0)
+            for some in np.array_split(at, -(-len(at) // STEP)) if len(at) else ():
                 own.learn(neighbourhoods(num, w.first, some), num[some], seen)
-            places += len(num)
+            places += len(at)
         if places:
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([places], pa.int64()), pa.array([own.pack()], pa.binary())], names=["salt", "places", "weights"])
 
